@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe, quality_rules
 from .frames import table
 
 
@@ -17,8 +17,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in names))
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.Model.read(vocabulary()))
+    return done.select(
+        "doc_id",
+        (F.octet_length("bpe.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("bpe.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op9_bpe": op9_bpe,
 }
 
 SQL: dict[str, str] = {}

@@ -35,11 +35,11 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = end
 
 
-def by_slices(texts: pa.Array, work: Callable[[pa.Array], pa.Array], empty: pa.DataType) -> pa.Array:
+def by_slices(texts: pa.Array, work: Callable[[pa.Array], pa.Array], empty: pa.DataType, limit: int = SLICE_BYTES) -> pa.Array:
     """``work`` on each slice (nulls read as empty texts), put together."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    done = [work(pc.fill_null(part, "")) for part in slices(texts)]
+    done = [work(pc.fill_null(part, "")) for part in slices(texts, limit)]
     return pa.concat_arrays(done) if done else pa.array([], empty)
 
 
