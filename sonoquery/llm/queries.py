@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules
-from .frames import table
+from . import bpe, quality_classifier, quality_rules
+from .frames import cut, table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in names))
 
 
+#: Share of documents below the threshold that op4 reports beside its fixed one.
+REJECTED_SHARE = 0.15
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(~quality_classifier.held_out(F.col("doc_id"))))
+    scored = cut(quality_classifier.score(docs, ranker).select("doc_id", "score"))
+    out = quality_classifier.at_quantile(scored, REJECTED_SHARE, out="above_quantile")
+    return out.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "above_quantile")
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Path of a public tokenizer file on the driver."""
     import public_tokenizers
@@ -36,6 +48,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op9_bpe": op9_bpe,
 }
 
