@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_classifier, quality_rules
+from . import bpe, mixing, quality_classifier, quality_rules
 from .frames import cut, table
 
 
@@ -29,6 +29,51 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "above_quantile")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.place(table(spark, sf_dir, "documents"))
+    placed = placed.withColumn("first_position", F.round(F.get("copies", F.lit(0))["position"], 6))
+    columns = ("doc_id", "size", "source_size", "target", "taken", "first_position")
+    return placed.repartitionByRange(F.col("first_position"), F.col("doc_id")).sortWithinPartitions("first_position", "doc_id").select(*columns)
+
+
+OP5_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+           md5(coalesce(doc_id::VARCHAR, '')) AS place
+    FROM documents),
+named AS (
+    SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn
+    FROM sized GROUP BY source),
+weighed AS (
+    SELECT *, [5.0::DOUBLE, 2.0, 1.0][turn + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM named),
+stacked AS (
+    SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS asked,
+           coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS capped,
+           sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS still
+    FROM weighed),
+levels AS (
+    SELECT min_by((asked - capped) / still, most / weight) AS lvl FROM stacked WHERE (asked - capped) / still <= most / weight),
+sources AS (
+    SELECT source, source_size, turn, CASE WHEN source_size = 0 THEN 0.0 ELSE coalesce(least(most, lvl * weight), most) END AS target
+    FROM stacked, levels),
+placed AS (
+    SELECT doc_id, size, source_size, target, turn, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS passes,
+           coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+parts AS (
+    SELECT *, greatest(0, least(size, floor(target - passes * source_size)::BIGINT - start)) AS part, start / nullif(target, 0) AS f FROM placed),
+timed AS (
+    SELECT *, CASE turn
+        WHEN 0 THEN 2 * f / (1.5 + sqrt(greatest(2.25 - 2 * f, 0)))
+        WHEN 1 THEN f
+        ELSE CASE WHEN f < 0.3125 THEN 2 * f / (0.5 + sqrt(0.25 + f)) ELSE 0.5 + 2 * (f - 0.3125) / (0.75 + sqrt(0.5625 + 5 * (f - 0.3125))) END END AS moment
+    FROM parts)
+SELECT doc_id, size, source_size, target, (size * passes + part)::BIGINT AS taken,
+       round(CASE WHEN size > 0 AND passes + (part > 0)::BIGINT > 0 THEN greatest(0.0, least(moment, 1.0)) END, 6) AS first_position
+FROM timed
+"""
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Path of a public tokenizer file on the driver."""
     import public_tokenizers
@@ -49,7 +94,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_mixing": op5_mixing,
     "op9_bpe": op9_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+}
