@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_classifier, quality_rules
+from . import bpe, license_scan, mixing, quality_classifier, quality_rules
 from .frames import cut, table
 
 
@@ -91,11 +91,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return scanned.select("doc_id", *(F.col(f"license.{c}").alias(c) for c in names))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
     "op9_bpe": op9_bpe,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {
