@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, quality_classifier, quality_rules
+from . import bpe, license_scan, mixing, quality_classifier, quality_rules, winnowing
 from .frames import cut, table
 
 
@@ -74,6 +74,22 @@ FROM timed
 """
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("edited", winnowing.edited(F.col("text"), F.col("following.text")))
+    rows = winnowing.with_fingerprint(rows, F.col("edited"), "edited_print")
+    own, other, after = (winnowing.hashes(F.col(c)) for c in ("fingerprint", "edited_print", "following.fingerprint"))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnowing.digest(F.col("fingerprint")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_print")).alias("edited_fingerprint"),
+        winnowing.likeness(own, other).alias("near_edited"),
+        winnowing.likeness(own, after).alias("near_next"),
+    )
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Path of a public tokenizer file on the driver."""
     import public_tokenizers
@@ -101,6 +117,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
+    "op7_winnowing": op7_winnowing,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
 }
