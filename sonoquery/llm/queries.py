@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, quality_classifier, quality_rules, winnowing
+from . import bpe, license_scan, mixing, pii, quality_classifier, quality_rules, winnowing
 from .frames import cut, table
 
 
@@ -90,6 +90,16 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Key of the registered query; a real run passes a secret of its own.
+PSEUDONYM_KEY = "key of the registered query"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.col("pii.finds.kind"))), ",")
+    return rows.select("doc_id", F.col("pii.n").alias("n_finds"), kinds.alias("kinds"), F.col("pii.text").alias("text"))
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Path of a public tokenizer file on the driver."""
     import public_tokenizers
@@ -118,6 +128,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
     "op7_winnowing": op7_winnowing,
+    "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
 }
