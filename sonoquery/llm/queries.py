@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, pii, quality_classifier, quality_rules, winnowing
+from . import bpe, license_scan, line_dedup, mixing, pii, quality_classifier, quality_rules, winnowing
 from .frames import cut, table
 
 
@@ -90,6 +90,11 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *(F.col(f"lines.{c}").alias(c) for c in ("n_lines", "n_removed", "text")))
+
+
 #: Key of the registered query; a real run passes a secret of its own.
 PSEUDONYM_KEY = "key of the registered query"
 
@@ -127,6 +132,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_winnowing": op7_winnowing,
     "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
