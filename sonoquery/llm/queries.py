@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, mixing, pii, quality_classifier, quality_rules, winnowing
+from . import bpe, license_scan, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, winnowing
 from .frames import cut, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = quality_rules.fit(docs, quality_rules.trusted(table(spark, sf_dir, "labels")))
@@ -129,6 +133,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
