@@ -130,11 +130,11 @@ def place(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 def training_order(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """Rows of ``docs``, once for each copy that the mix takes whole, range-sorted by position.
 
-    Ids are expected to be unique; of rows that share an id, the mix counts each
-    and this join repeats them.
+    Ids are expected to be unique.  Of rows that share an id, each stands as often
+    as the mix takes all of them.  Null ids are ids like others.
     """
     placed = place(docs, key=key, whole=True, **how)
     at = free_name(docs, "position")
     copies = placed.select(F.col(key).alias("_key"), F.explode("copies").alias("_copy")).select("_key", F.col("_copy.copy").alias("_copy"), F.col("_copy.position").alias(at))
-    rows = docs.join(copies, named(docs, key) == F.col("_key"))
+    rows = docs.join(copies.hint("shuffle_hash"), named(docs, key).eqNullSafe(F.col("_key")))
     return rows.repartitionByRange(F.col(at), F.col("_key")).sortWithinPartitions(at, "_key", "_copy").drop("_key", "_copy")
