@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, winnowing
+from . import bpe, license_scan, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, warc, winnowing
 from .frames import cut, table
 
 
@@ -21,6 +21,41 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in names))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of all pages in which some records are damaged by rule: bytes changed, bytes lost, record lost."""
+    pages = table(spark, sf_dir, "pages")
+    body = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).when(F.col("page_id") % 101 == 7, F.expr("substring(html, 1, length(html) - 10)")).otherwise(F.col("html"))
+    manifest = cut(warc.layout(pages))
+    read = pages.select(F.col("page_id").alias("page"), F.sha2(warc.record(F.col("page_id"), F.col("url"), body).cast("binary"), 256).alias("_read")).where("page % 103 <> 11")
+    # the replica's index has the manifest's places; what stands there may be damaged
+    replica = manifest.join(read, "page").select("file", "number", "offset", "length", "page", F.col("_read").alias("digest"))
+    return warc.audit(manifest, cut(replica))
+
+
+OP3_SQL = r"""
+WITH bodies AS (
+    SELECT page_id, url, coalesce(html, '') AS html,
+           CASE WHEN page_id % 97 = 5 THEN '#' || substring(html, 2) WHEN page_id % 101 = 7 THEN substring(html, 1, length(html) - 10) ELSE html END AS other
+    FROM pages),
+texts AS (
+    SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+           || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+           chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, coalesce(other, '') AS other
+    FROM bodies),
+records AS (
+    SELECT page_id, head || strlen(html) || gap || html || gap AS a, head || strlen(other) || gap || other || gap AS b FROM texts),
+manifest AS (
+    SELECT page_id, page_id // 512 AS file, sha256(a) AS digest_a, sha256(b) AS digest_b, strlen(a) AS length FROM records),
+placed AS (
+    SELECT *, row_number() OVER w - 1 AS number, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
+    FROM manifest WINDOW w AS (PARTITION BY file ORDER BY page_id, digest_a))
+SELECT file::BIGINT AS file, number::BIGINT AS number, "offset"::BIGINT AS "offset", length::BIGINT AS length, page_id AS page,
+       CASE WHEN page_id % 103 = 11 THEN 'missing' ELSE 'changed' END AS status, digest_a,
+       CASE WHEN page_id % 103 <> 11 THEN digest_b END AS digest_b
+FROM placed WHERE page_id % 103 = 11 OR digest_a <> digest_b
+"""
+
+
 #: Share of documents below the threshold that op4 reports beside its fixed one.
 REJECTED_SHARE = 0.15
 
@@ -135,6 +170,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
@@ -145,5 +181,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_warc_fixity": OP3_SQL,
     "op5_mixing": OP5_SQL,
 }
