@@ -1,7 +1,7 @@
 """Text normalization and word errors.
 
-:func:`native` covers the steps that are regular expressions as a Column (ASCII
-text); :func:`normalized` is the whole normalizer as a vectorized Arrow function.
+:func:`native` covers the steps that are regular expressions as a Column (Latin
+letters); :func:`normalized` is the whole normalizer as a vectorized Arrow function.
 The spelling map is an input: none is part of the library, and a call must name
 one or say that there is none.
 """
@@ -81,7 +81,7 @@ LETTERS = {"œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE",
 
 KEPT = ".%$¢€£"
 
-#: Steps before symbols are stripped: (pattern, replacement), the same for Java, Python and RE2 on ASCII text.
+#: Steps before symbols are stripped: (pattern, replacement), the same for Java, Python and RE2 on ASCII letters.
 BEFORE: tuple[tuple[str, str], ...] = (
     (r"[<\[][^>\]]*[>\]]", ""),
     (r"\(([^)]+?)\)", ""),
@@ -97,21 +97,38 @@ AFTER: tuple[tuple[str, str], ...] = ((r"[.$¢€£]([^0-9])", r" \1"), (r"([^0-
 
 def replaced(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
     for pattern, new in steps:
-        text = F.regexp_replace(text, pattern, re.sub(r"\\(\d)", r"\$\1", new))
+        text = F.regexp_replace(text, pattern, re.sub(r"\\(\d)", lambda m: "$" + m[1], new))
     return text
 
 
+def _folded_letters() -> tuple[str, str]:
+    """Latin letters of one mark or more, and the ASCII letters they are made of."""
+    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))) for i in range(0xC0, 0x250)]
+    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and b[0].isascii() and b[0].isalpha() and all(unicodedata.category(c) == "Mn" for c in b[1:])]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def native(text: Column) -> Column:
-    """The regular steps on ASCII text, without numbers and spellings."""
-    text = replaced(F.lower(text), BEFORE)
+    """The regular steps on text in Latin letters, without numbers and spellings.
+
+    Marks are taken off first, so that word boundaries are those of ASCII.
+    """
+    text = F.lower(F.translate(text, *_folded_letters()))
+    for letter, new in LETTERS.items():
+        if letter.islower():
+            text = F.replace(text, F.lit(letter), F.lit(new))
+    text = replaced(text, BEFORE)
     text = F.regexp_replace(text, r"[^a-z0-9\s.%$]", " ")
     return F.trim(replaced(text, AFTER))
 
 
 def native_sql(column: str) -> str:
     """DuckDB SQL of :func:`native`."""
-    sql = f"lower({column})"
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    sql = "lower(translate({}, {}, {}))".format(column, *map(quoted, _folded_letters()))
+    for letter, new in LETTERS.items():
+        if letter.islower():
+            sql = f"replace({sql}, {quoted(letter)}, {quoted(new)})"
     for pattern, new in (*BEFORE, (r"[^a-z0-9\s.%$]", " "), *AFTER):
         sql = f"regexp_replace({sql}, {quoted(pattern)}, {quoted(new)}, 'g')"
     return f"trim({sql}, ' ')"
