@@ -13,10 +13,12 @@ hash function); its sketch are the ``K`` smallest of them.
    union sketch (the ``K`` smallest of both) estimates too low a similarity is
    dropped; the rest is verified by exact Jaccard on the full sets.  Links
    make components.
-4. Only pairs of a list that lie in different components are left.  They are
-   joined, filtered by the estimate within the join, verified in the same
-   way, and the components are made anew.  No pair is left out, and the pairs of a
-   large group of copies, which step 3 has joined, aren't made.
+4. Only pairs of a list that lie in different components are left.  Those of
+   lists of at most ``SHORT`` members are made once each, filtered by the estimate
+   within the join.  In longer lists, the members' differences from the list's
+   head are indexed (:func:`by_difference`), which finds all links among them
+   without pairing members that differ from the head in ways of their own.  The
+   pairs are verified in the same way, and the components are made anew.
 
 Lists, links and components stay distributed; joins on frequent values or
 classes are left to Spark's skew handling, and counts are combined before the
@@ -46,6 +48,8 @@ from .words import by_slices, coded, grams, hash_strings, mix, starts, words_of
 
 K = 48
 MISS = 1e-8
+#: Lists of more members are taken apart by their differences from the head.
+SHORT = 64
 
 SET = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 SET_DDL = "struct<n:bigint,s1:bigint,s2:bigint,sketch:array<bigint>>"
@@ -115,6 +119,67 @@ def likely(a: Column, b: Column, na: Column, nb: Column, k: int, percent: int, s
     return sizes & (shared >= F.lit(share) * F.size(union))
 
 
+def _difference(a: pa.Array, b: pa.Array) -> pa.Array:
+    """What is in one of two packed sets."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        both = np.concatenate([np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)])
+        both.sort()
+        same = both[1:] == both[:-1]
+        single = np.ones(len(both), bool)
+        single[1:] &= ~same
+        single[:-1] &= ~same
+        out.append(both[single])
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def by_difference(families: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components among the nodes that share a head.
+
+    ``families`` has ``head``, ``node``, ``component`` and the packed sets ``set_h``
+    and ``set``.  With D(x) for what x and the head don't have in common, x and y
+    differ in |D(x)| + |D(y)| - 2 c places, where c counts what D(x) and D(y) share.
+    Similar sets differ in at most r (|x| + |y|), r = (100 - percent) / (100 +
+    percent), so c has a lower bound.  If x isn't similar to the head, |D(x)| is
+    above r (|x| + |head|), and for any similar y
+
+        c > (|D(y)| + r (|head| - |y|)) / 2;
+
+    and as |y| <= |head| + |D(y)| and |D(y)| >= c, also
+
+        c >= (|D(x)| - r (|x| + |head|)) / (1 + r).
+
+    One of two nodes in different components isn't similar to their head, so all
+    links are found by inverted lists of the rarest |D| - bound + 1 members of each
+    D.  Independent changes are in no list, as they are in one D only: a large group
+    of copies that differ each in its own way gives no pairs.
+    """
+    p, q = 100 + percent, 100 - percent  # r = q / p
+    difference = F.arrow_udf(_difference, "array<bigint>")
+    rows = families.select("head", "node", "component", (F.octet_length("set_h") / 8).cast("long").alias("nh"), (F.octet_length("set") / 8).cast("long").alias("n"), difference("set_h", "set").alias("_d"))
+    rows = cut(rows.withColumn("d", F.size("_d").cast("long")))
+    parts = rows.select("head", "node", F.explode("_d").alias("e"))
+    shared = parts.groupBy("head", "e").agg(F.count("*").alias("times")).where("times > 1")
+    own = parts.join(shared, ["head", "e"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
+    rows = rows.drop("_d").join(own, ["head", "node"]).withColumn("s", F.size("own").cast("long"))
+    rows = rows.withColumn("far", F.col("d") * p > (F.col("n") + F.col("nh")) * q)
+    to_far = F.greatest(F.floor((F.col("d") * p + (F.col("nh") - F.col("n")) * q) / (2 * p)) + 1, F.lit(1)).cast("int")
+    to_near = F.greatest(F.ceil((F.col("d") * p - (F.col("n") + F.col("nh")) * q) / (p + q)), F.lit(1)).cast("int")
+
+    def listed(rows: DataFrame, bound: Column, side: str) -> DataFrame:
+        rows = rows.where(F.col("s") >= bound)
+        rows = rows.withColumn("x", F.explode(F.slice("own", F.lit(1), (F.col("s") - bound + 1).cast("int"))))
+        return rows.select("head", F.col("x.e").alias("e"), *(F.col(c).alias(c + side) for c in ("node", "component", "n", "d", "s")))
+
+    needed = (F.col("d_a") + F.col("d_b")) * p - (F.col("n_a") + F.col("n_b")) * q <= F.least("s_a", "s_b") * (2 * p)
+    apart = (F.col("component_a") != F.col("component_b")) & needed
+    far = rows.where("far")
+    first = listed(far, to_far, "_a").join(listed(far, to_far, "_b"), ["head", "e"]).where(apart & (F.col("node_a") < F.col("node_b")))
+    second = listed(far, to_near, "_a").join(listed(rows.where("not far"), to_far, "_b"), ["head", "e"]).where(apart)
+    pairs = first.select("node_a", "node_b").union(second.select("node_a", "node_b"))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """(key, ``n_shingles``, ``component_id``, ``kept``) of every row of ``docs``.
 
@@ -164,13 +229,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     links = cut(linked(with_sketches(stars).where(condition)).distinct())
     found = cut(components(links))
 
-    # 4. pairs of a list in different components
-    placed = lists.join(found, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_lists = placed.join(mixed.select("value"), "value", "left_semi").join(known, "node")
-    left, right = (open_lists.select("value", *(F.col(c).alias(c + side) for c in ("node", "component", "n", "sketch"))) for side in ("_a", "_b"))
-    pairs = left.join(right, "value").where("node_a < node_b and component_a <> component_b").where(condition)
-    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    # 4. pairs of a list in different components: short lists directly, long ones by differences from the head
+    placed = cut(lists.join(found, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component")))
+    mixed = placed.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    short = placed.join(mixed.where(F.col("members") <= SHORT).select("value"), "value", "left_semi")
+    several = short.groupBy("node").agg(F.collect_set("value").alias("values"))
+    short = short.join(several, "node").join(known, "node")
+    left, right = (short.select("value", *(F.col(c).alias(c + side) for c in ("node", "component", "n", "sketch", "values"))) for side in ("_a", "_b"))
+    # a pair is made in the first of its lists only
+    once = F.col("value") == F.array_min(F.array_intersect("values_a", "values_b"))
+    pairs = left.join(right, "value").where("node_a < node_b and component_a <> component_b").where(once & condition)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    long = placed.join(mixed.where(F.col("members") > SHORT).select("value", "head"), "value").where("node <> head")
+    families = long.select("head", "node", "component").distinct()
+    families = families.join(full.select(F.col("node").alias("head"), F.col("set").alias("set_h")), "head").join(full, "node")
+    pairs = pairs.union(by_difference(families, percent)).distinct()
     more = linked(pairs.join(stars, ["a", "b"], "left_anti"))
     every = cut(components(links.union(more)))
 

@@ -83,3 +83,35 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 150), (150, 120), (300, 300), (500, 400)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in (100, 120, 150, 200)} | {400: 400, 500: 400}
+
+
+@pytest.mark.parametrize("short", [1, 8])
+def test_long_lists(spark, monkeypatch, short):
+    """Large groups whose copies differ each in its own way, and copies of copies."""
+    monkeypatch.setattr(minhash, "SHORT", short)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    docs = {}
+    for _ in range(3):
+        base = [rng.choice(words) for _ in range(120)]
+        group = [base]
+        for _ in range(110):
+            text = list(rng.choice(group) if rng.random() < 0.5 else base)
+            for _ in range(rng.randint(0, 9)):
+                at = rng.randrange(len(text))
+                kind = rng.random()
+                if kind < 0.6:
+                    text[at] = rng.choice(words)
+                elif kind < 0.8:
+                    del text[at]
+                else:
+                    text.insert(at, rng.choice(words))
+            group.append(text)
+            docs[len(docs) + 10] = " ".join(text)
+    order = list(docs.items())
+    rng.shuffle(order)
+    df = spark.createDataFrame(order, "doc_id long, text string")
+    for n, percent in ((3, 85), (5, 80)):
+        root, _ = brute(docs, n, percent)
+        assert 5 < len(set(root.values())) < len(docs)
+        check(minhash.near_duplicates(df, n=n, percent=percent).collect(), docs, n, percent)
