@@ -78,7 +78,7 @@ def inverse(schedule: Sequence[tuple[float, float]], fraction: Column) -> Column
     for (t0, w0), (t1, w1), area in zip(schedule, schedule[1:], areas, strict=False):
         rest = fraction * whole - done
         slope = (w1 - w0) / (t1 - t0)
-        pieces.append((done + area, F.lit(t0) + 2 * rest / (F.lit(w0) + F.sqrt(F.greatest(F.lit(w0 * w0) + rest * (2 * slope), F.lit(0.0))))))
+        pieces.append((done + area, F.lit(t0) + F.coalesce(F.try_divide(2 * rest, F.lit(w0) + F.sqrt(F.greatest(F.lit(w0 * w0) + rest * (2 * slope), F.lit(0.0)))), F.lit(0.0))))
         done += area
     for end, expression in reversed(pieces):
         time = F.when(fraction * whole < end, expression).otherwise(time)
@@ -115,7 +115,7 @@ def place(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 
     def copy(i: Column) -> Column:
         # demand is the inverse's argument: the offset in the stream over the target
-        fraction = (i * F.col("source_size") + F.col("_start")) / F.col("target")
+        fraction = F.try_divide((i * F.col("source_size") + F.col("_start")).cast("double"), F.col("target"))
         position = F.lit(None).cast("double")
         for k, schedule in enumerate(schedules):
             position = F.when(F.col("turn") % len(schedules) == k, inverse(schedule, fraction)).otherwise(position)

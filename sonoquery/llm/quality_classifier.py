@@ -103,8 +103,8 @@ class Ranker:
 
 def learn(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 400, seed: int = 0) -> Ranker:
     """Weights from preference pairs, then the curve that puts scores on 0 to 1."""
-    x = np.asarray(x, np.float64).reshape(len(y), -1)
-    d = x.shape[1] if len(y) else DIMENSIONS
+    x = np.asarray(x, np.float64).reshape(len(y), DIMENSIONS)
+    d = DIMENSIONS
     better, worse = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(better) or not len(worse):
         return Ranker(np.zeros(d), np.ones(d), np.zeros(d), 1.0, 0.0)
