@@ -149,9 +149,10 @@ def by_difference(families: DataFrame, percent: int) -> DataFrame:
 
         c >= (|D(x)| - r (|x| + |head|)) / (1 + r).
 
-    One of two nodes in different components isn't similar to their head, so all
+    Nodes that are similar to their head, but not in its component, are paired with
+    it.  Of two others in different components, one isn't similar to the head, so all
     links are found by inverted lists of the rarest |D| - bound + 1 members of each
-    D.  Independent changes are in no list, as they are in one D only: a large group
+    D.  ``head`` names a component.  Independent changes are in no list, as they are in one D only: a large group
     of copies that differ each in its own way gives no pairs.
     """
     p, q = 100 + percent, 100 - percent  # r = q / p
@@ -161,8 +162,9 @@ def by_difference(families: DataFrame, percent: int) -> DataFrame:
     parts = rows.select("head", "node", F.explode("_d").alias("e"))
     shared = parts.groupBy("head", "e").agg(F.count("*").alias("times")).where("times > 1")
     own = parts.join(shared, ["head", "e"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
-    rows = rows.drop("_d").join(own, ["head", "node"]).withColumn("s", F.size("own").cast("long"))
     rows = rows.withColumn("far", F.col("d") * p > (F.col("n") + F.col("nh")) * q)
+    own_head = rows.where("not far and component <> head").select(F.col("head").alias("node_a"), F.col("node").alias("node_b"))
+    rows = rows.drop("_d").join(own, ["head", "node"]).withColumn("s", F.size("own").cast("long"))
     to_far = F.greatest(F.floor((F.col("d") * p + (F.col("nh") - F.col("n")) * q) / (2 * p)) + 1, F.lit(1)).cast("int")
     to_near = F.greatest(F.ceil((F.col("d") * p - (F.col("n") + F.col("nh")) * q) / (p + q)), F.lit(1)).cast("int")
 
@@ -176,7 +178,7 @@ def by_difference(families: DataFrame, percent: int) -> DataFrame:
     far = rows.where("far")
     first = listed(far, to_far, "_a").join(listed(far, to_far, "_b"), ["head", "e"]).where(apart & (F.col("node_a") < F.col("node_b")))
     second = listed(far, to_near, "_a").join(listed(rows.where("not far"), to_far, "_b"), ["head", "e"]).where(apart)
-    pairs = first.select("node_a", "node_b").union(second.select("node_a", "node_b"))
+    pairs = first.select("node_a", "node_b").union(second.select("node_a", "node_b")).union(own_head)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
 
     # 4. pairs of a list in different components: short lists directly, long ones by differences from the head
     placed = cut(lists.join(found, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component")))
-    mixed = placed.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    mixed = placed.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     short = placed.join(mixed.where(F.col("members") <= SHORT).select("value"), "value", "left_semi")
     several = short.groupBy("node").agg(F.collect_set("value").alias("values"))
     short = short.join(several, "node").join(known, "node")
@@ -241,8 +243,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     pairs = left.join(right, "value").where("node_a < node_b and component_a <> component_b").where(once & condition)
     pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    long = placed.join(mixed.where(F.col("members") > SHORT).select("value", "head"), "value").where("node <> head")
-    families = long.select("head", "node", "component").distinct()
+    # the head is the root of the list's largest component, so that the lists of a group have the same one
+    long = placed.join(mixed.where(F.col("members") > SHORT).select("value"), "value", "left_semi")
+    roots = long.groupBy("value", "component").agg(F.count("*").alias("size")).groupBy("value").agg(F.max(F.struct("size", "component")).alias("_m"))
+    long = long.join(roots.select("value", F.col("_m.component").alias("head")), "value")
+    families = long.select("head", "node", "component").where("node <> head").distinct()
     families = families.join(full.select(F.col("node").alias("head"), F.col("set").alias("set_h")), "head").join(full, "node")
     pairs = pairs.union(by_difference(families, percent)).distinct()
     more = linked(pairs.join(stars, ["a", "b"], "left_anti"))
