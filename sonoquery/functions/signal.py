@@ -10,7 +10,7 @@ columns of a DataFrame (``withColumn`` first) rather than long expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -174,6 +174,17 @@ def t30_s(sums: Column, sr) -> Column:
     return F.when((F.size(sums) == 0) | (whole <= 0), _nan()).when((start == 0) | (end == 0), _nan()).otherwise(time.cast("double"))
 
 
+def t30_table(df: DataFrame, key: str, rir: str, direct: str, sr: int) -> DataFrame:
+    """(key, t30) by running sums over exploded samples: for long responses, which :func:`decay_curve` would copy at each step."""
+    tail = df.select(key, F.posexplode(F.slice(rir, F.col(direct) + 1, F.size(rir))).alias("pos", "x"))
+    left = Window.partitionBy(key).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = tail.withColumn("s", F.sum(F.col("x") * F.col("x")).over(left))
+    whole = F.max("s").over(Window.partitionBy(key))
+    fall = F.when(whole > 0, F.log10(F.greatest(F.try_divide(F.col("s"), whole), F.lit(1e-20))) * 10)
+    ends = sums.withColumn("db", fall).groupBy(key).agg(*(F.min(F.when(F.col("db") <= level, F.col("pos"))).alias(name) for level, name in ((-5.0, "start"), (-35.0, "end"))))
+    return df.select(key).join(ends, key, "left").select(key, F.coalesce(((F.col("end") - F.col("start")) * 2 / sr).cast("double"), _nan()).alias("t30"))
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import dsp, text
 from ..operators import rooms
 
+#: Files that one call may name; their names go through the driver.
+MAX_PATHS = 100_000
+
 _DECODED = pa.struct([("audio", pa.list_(pa.float64())), ("sr", pa.int32())])
 
 
@@ -33,7 +36,9 @@ def with_bytes(rows: DataFrame, audio: str = "audio") -> DataFrame:
     if rows.schema[audio].dataType.simpleString() == "string":
         rows = rows.withColumn(audio, F.struct(F.lit(None).cast("binary").alias("bytes"), F.col(audio).alias("path")))
     missing = F.col(f"{audio}.bytes").isNull()
-    paths = [r[0] for r in rows.where(missing & (F.coalesce(F.col(f"{audio}.path"), F.lit("")) != "")).select(f"{audio}.path").distinct().limit(100_000).collect()]
+    paths = [r[0] for r in rows.where(missing & (F.coalesce(F.col(f"{audio}.path"), F.lit("")) != "")).select(f"{audio}.path").distinct().limit(MAX_PATHS + 1).collect()]
+    if len(paths) > MAX_PATHS:
+        raise ValueError(f"more than {MAX_PATHS} files by path; read them by folder")
     if paths:
         files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), "content")
         rows = rows.join(files, F.regexp_replace(f"{audio}.path", "^file:/+", "/") == F.col("_path"), "left").withColumn("_bytes", F.coalesce(f"{audio}.bytes", "content")).drop("_path", "content")

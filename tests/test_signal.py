@@ -35,6 +35,14 @@ def test_descriptors_agree(spark):
         np.testing.assert_allclose(values(df, column), wanted, rtol=1e-9, atol=1e-9)
 
 
+def test_decay_by_window(spark):
+    rng = np.random.default_rng(3)
+    arrays = [rng.standard_normal(200) * np.exp(-np.arange(200) / rng.uniform(5, 60)) for _ in range(12)] + [np.zeros(5), np.array([])]
+    df = frame(spark, arrays).withColumn("at", F.lit(2))
+    got = [r.t30 for r in signal.t30_table(df, "i", "a", "at", SR).orderBy("i").collect()]
+    np.testing.assert_allclose(got, [dsp.t30_s(a, 2, SR) for a in arrays], rtol=1e-9)
+
+
 def test_direct_sound_edges(spark):
     df = frame(spark, [[0, 1, -1, 1, 0]], d=[0.343 * 2])
     assert values(df, signal.direct_index(F.col("a"), F.col("d"), SR)) == [1]  # the first of equal ones
