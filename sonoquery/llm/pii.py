@@ -39,7 +39,8 @@ _END = r"(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": _FREE + r"[0-9a-fA-F]{32,64}" + _END,
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}" + _END,
+    # signs of lists and tables may stand between the parts of a number with a bracketed area code
+    "phone": r"(?<![0-9A-Za-z])(?:(?:\+[0-9]{1,3}[^0-9A-Za-z]{0,6})?\([0-9]{3}\)[^0-9A-Za-z]{0,6}|(?:\+[0-9]{1,3}[ .\-]?)?[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}" + _END,
     "ip": r"(?<![0-9A-Za-z.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9A-Za-z]|\.[0-9])",
     "card": _FREE + r"(?:[0-9]{13,19}|(?:[0-9]{4}[ \-]){3}[0-9]{4})" + _END,
     "ssn": _FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,

@@ -85,8 +85,8 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in (100, 120, 150, 200)} | {400: 400, 500: 400}
 
 
-@pytest.mark.parametrize("short", [1, 8])
-def test_long_lists(spark, monkeypatch, short):
+@pytest.mark.parametrize(("short", "n", "percent"), [(1, 3, 85), (8, 5, 80)])
+def test_long_lists(spark, monkeypatch, short, n, percent):
     """Large groups whose copies differ each in its own way, and copies of copies."""
     monkeypatch.setattr(minhash, "SHORT", short)
     rng = random.Random(5)
@@ -111,7 +111,6 @@ def test_long_lists(spark, monkeypatch, short):
     order = list(docs.items())
     rng.shuffle(order)
     df = spark.createDataFrame(order, "doc_id long, text string")
-    for n, percent in ((3, 85), (5, 80)):
-        root, _ = brute(docs, n, percent)
-        assert 5 < len(set(root.values())) < len(docs)
-        check(minhash.near_duplicates(df, n=n, percent=percent).collect(), docs, n, percent)
+    root, _ = brute(docs, n, percent)
+    assert 5 < len(set(root.values())) < len(docs)
+    check(minhash.near_duplicates(df, n=n, percent=percent).collect(), docs, n, percent)

@@ -40,6 +40,13 @@ def test_formats(spark):
     assert run(spark, ["x 4845168114407329"], "another")[0].text != run(spark, ["x 4845168114407329"])[0].text
 
 
+def test_signs_between_the_parts_of_a_number(spark):
+    plain, table, shouted = run(spark, ["+1 (743) 555-3824", "+1 | (743) | 555-3824 |", "+1!! (743)!! 555-3824!!"])
+    digits = lambda r: re.sub("[^0-9]", "", r.text)
+    assert plain.n == table.n == shouted.n == 1 and digits(plain) == digits(table) == digits(shouted) != "17435553824"
+    assert table.text.count("|") == 3 and shouted.text.count("!!") == 3
+
+
 def test_invalid_values_stay(spark):
     texts = ["9807915762804490", "4845168114407328", "999.1.1.1", "1.2.3.4.5", "000-12-1234", "2023-02-30", "31.04.1999", "abc 12345", "3.4845168114407329", None, "", "no digit"]
     assert [(r.text, r.n) for r in run(spark, texts)] == [(t, 0) for t in texts]
