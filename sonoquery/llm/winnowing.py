@@ -115,8 +115,10 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str
     """
     rows = docs.select("*", named(docs, text).cast("string").alias("_text"))
     rows = with_bucket(rows, key, "_bucket")
-    first = F.min(F.struct(named(docs, key).isNotNull().alias("a"), named(docs, key).alias("b"), F.coalesce("_text", F.lit("")).alias("text")))
-    firsts = rows.groupBy("_bucket").agg(first.alias("_first"))
+    # at most MAX_BUCKETS + 1 keys, so their table may be broadcast
+    ids = rows.groupBy("_bucket").agg(F.min(F.struct(named(docs, key).isNotNull().alias("a"), named(docs, key).alias("b"))).alias("_f")).select(F.col("_bucket").alias("_of"), F.col("_f.b").alias("_id"))
+    firsts = rows.join(F.broadcast(ids), (F.col("_bucket") == F.col("_of")) & named(docs, key).eqNullSafe(F.col("_id")))
+    firsts = firsts.groupBy("_bucket").agg(F.min(F.struct(F.coalesce("_text", F.lit("")).alias("text"))).alias("_first"))
     everyone = Window.orderBy("_bucket")
     after = F.coalesce(F.lead("_first").over(everyone), F.first("_first").over(everyone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = firsts.select("_bucket", after["text"].alias("_text"))
