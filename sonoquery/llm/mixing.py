@@ -94,7 +94,7 @@ def place(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     """
     sized = docs.select(named(docs, key).alias("_key"), named(docs, source).alias("source"), words(named(docs, text)).alias("size"))
     sized = cut(sized.withColumn("_order", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit("")))))
-    bits = max(0, min(28, math.ceil(math.log2(max(1, sized.count()) / BUCKET_ROWS)))) if sized.count() else 0
+    bits = max(0, min(28, math.ceil(math.log2(max(1, sized.count()) / BUCKET_ROWS))))
     bucket = F.conv(F.substring("_order", 1, 7), 16, 10).cast("long").bitwiseAND((1 << 28) - 1)
     sized = sized.withColumn("_bucket", F.shiftright(bucket, 28 - bits))
     buckets = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_in_bucket"))
