@@ -24,20 +24,22 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .frames import free_name, named
-from .words import by_slices, coded, starts, words_of
+from .words import coded, slices, starts, words_of
 
 RESULT = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
-RESULT_DDL = "struct<ids:binary,decoded:string>"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Lists of at least so many positions are merged by array operations.
 MANY = 24
 
@@ -142,10 +144,10 @@ class Encoder:
         symbols[end] = m.final[data[end]]
         whole = np.ones(n, bool)  # has a right neighbour in the piece
         whole[end] = False
-        after = np.where(whole, np.arange(1, n + 1), -1)
+        after = np.where(whole, np.arange(1, n + 1, dtype=np.int32), np.int32(-1))
         inside = np.ones(n, bool)
         inside[end - size + 1] = False
-        before = np.where(inside, np.arange(-1, n - 1), -1)
+        before = np.where(inside, np.arange(-1, n - 1, dtype=np.int32), np.int32(-1))
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
@@ -226,14 +228,27 @@ def _encoder(model: Model) -> Encoder:
     return _encoders[id(model)]
 
 
-def round_trip(docs: DataFrame, model: Model, text: str = "text", out: str = "bpe") -> DataFrame:
-    """``docs`` with a struct ``out``: ``ids`` (packed little-endian unsigned 32-bit integers) and ``decoded``, the text of these ids."""
+def round_trip(docs: DataFrame, model: Model, text: str = "text", out: str = "bpe", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct ``out``: ``ids`` (packed little-endian unsigned 32-bit integers) and ``decoded``, the text of these ids.
 
-    def work(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(model)
-        return by_slices(texts, encoder.texts, RESULT, SLICE_BYTES)
+    Results leave a Python worker slice by slice, so what it holds at a time is a
+    batch of texts and a slice's ids, not the ids of a batch.
+    """
+    kept = docs.columns if keep is None else keep
+    at, source = free_name(kept, out), free_name(kept, "_text")
 
-    return docs.withColumn(free_name(docs, out), F.arrow_udf(work, RESULT_DDL)(named(docs, text).cast("string")))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(model)
+        for batch in batches:
+            done = 0
+            for part in slices(batch.column(len(kept)), SLICE_BYTES):
+                rows = batch.slice(done, len(part))
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], encoder.texts(pc.fill_null(part, ""))], names=[*kept, at])
+
+    rows = docs.select(*[named(docs, c) for c in kept], named(docs, text).cast("string").alias(source))
+    schema = StructType([*(docs.schema[c] for c in kept), StructField(at, StructType([StructField("ids", BinaryType()), StructField("decoded", StringType())]))])
+    return rows.mapInArrow(work, schema)
 
 
 def decode(docs: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -152,7 +152,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.Model.read(vocabulary()))
+    done = bpe.round_trip(table(spark, sf_dir, "documents"), bpe.Model.read(vocabulary()), keep=["doc_id"])
     return done.select(
         "doc_id",
         (F.octet_length("bpe.ids") / 4).cast("long").alias("n_tokens"),
