@@ -53,9 +53,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (packed, little-endian, 32 bits), with digests of them and of the decoded text."""
-    at = free_name(docs, "bpe")
-    done = bpe.round_trip(docs, bpe.Model.read(vocabulary()), out=at)
-    ids, decoded = F.col(at)["ids"], F.col(at)["decoded"]
+    done = bpe.round_trip(docs, bpe.Model.read(vocabulary()), keep=["doc_id"])
+    ids, decoded = F.col("bpe.ids"), F.col("bpe.decoded")
     return done.select(
         "doc_id",
         (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
