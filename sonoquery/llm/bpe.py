@@ -35,11 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .frames import free_name, named
-from .words import coded, slices, starts, words_of
+from .frames import free_name, named, small_batches
+from .words import coded, slices, starts, trim, words_of
 
 RESULT = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
-SLICE_BYTES = 2 << 20
 #: Lists of at least so many positions are merged by array operations.
 MANY = 24
 
@@ -241,12 +240,13 @@ def round_trip(docs: DataFrame, model: Model, text: str = "text", out: str = "bp
         encoder = _encoder(model)
         for batch in batches:
             done = 0
-            for part in slices(batch.column(len(kept)), SLICE_BYTES):
+            for part in slices(batch.column(len(kept))):
                 rows = batch.slice(done, len(part))
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], encoder.texts(pc.fill_null(part, ""))], names=[*kept, at])
+            trim()
 
-    rows = docs.select(*[named(docs, c) for c in kept], named(docs, text).cast("string").alias(source))
+    rows = small_batches(docs).select(*[named(docs, c) for c in kept], named(docs, text).cast("string").alias(source))
     schema = StructType([*(docs.schema[c] for c in kept), StructField(at, StructType([StructField("ids", BinaryType()), StructField("decoded", StringType())]))])
     return rows.mapInArrow(work, schema)
 
@@ -258,7 +258,7 @@ def decode(docs: DataFrame, model: Model, ids: str = "ids", out: str = "decoded"
         encoder = _encoder(model)
         return pa.array([encoder.decode(np.frombuffer(x or b"", "<u4")) for x in packed.to_pylist()], pa.binary()).cast(pa.string())
 
-    return docs.withColumn(free_name(docs, out), F.arrow_udf(work, "string")(named(docs, ids)))
+    return small_batches(docs).withColumn(free_name(docs, out), F.arrow_udf(work, "string")(named(docs, ids)))
 
 
 def unpacked(ids):

@@ -16,6 +16,22 @@ def free_name(taken: DataFrame | list[str], wish: str) -> str:
     return wish
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to send Arrow batches of at most ``BATCH_BYTES``.
+
+    The default, 64 MB for each task on both sides, is more than executors of a few GB can
+    spare.  A setting of the user's stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.conf.get(key, None):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import free_name, named
+from .frames import free_name, named, small_batches
 from .license_texts import PHRASES, TEMPLATES
 from .words import by_slices, coded, grams, hash_strings, starts, words_of
 
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: Se
     ``spans`` holds the verified (label, start, end, similarity) in words;
     ``score`` is 1 where a phrase stands, else the best similarity of a span, else 0.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     templates = list(templates)
 
     def work(k: int):

@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, free_name, named
-from .words import by_slices, coded, hash_strings, mix, slices
+from .frames import cut, free_name, named, small_batches
+from .words import by_slices, coded, hash_strings, mix, slices, trim
 
 WINDOW = 2
 DIVISOR = 3
@@ -92,6 +92,7 @@ def _bytes(texts: pa.Array, numbers: pa.Array) -> pa.Array:
             start = np.concatenate([[0], edge])
             out.append([{"n": n, "chunk": "\n".join(own[start[n] : edge[n]])} for n in wanted[at] or []])
             at += 1
+    trim()
     return pa.array(out, pa.list_(pa.struct([("n", pa.int32()), ("chunk", pa.string())])))
 
 
@@ -110,6 +111,7 @@ def _without(texts: pa.Array, repeated: pa.Array, firsts: pa.Array) -> pa.Array:
             start = np.concatenate([[0], edge])
             kept = [line for k in range(len(edge)) if k not in gone for line in own[start[k] : edge[k]]]
             out.append({"text": "\n".join(kept), "n_lines": n, "n_removed": n - len(kept)})
+    trim()
     return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]))
 
 
@@ -119,7 +121,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "
     hashes = F.arrow_udf(lambda texts: by_slices(texts, _hashes, pa.list_(pa.int64())), "array<bigint>")
     taken = free_name(docs, "_a"), free_name(docs, "_b")
     a, b = taken
-    rows = docs.withColumns({a: F.xxhash64(named(docs, key), whole), b: F.hash(whole, named(docs, key))})
+    rows = small_batches(docs).withColumns({a: F.xxhash64(named(docs, key), whole), b: F.hash(whole, named(docs, key))})
 
     marks = cut(rows.select(a, b, F.posexplode(hashes(whole)).alias("n", "hash")).where("hash is not null"))
     again = marks.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")

@@ -43,8 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, drop_cut, named
-from .words import by_slices, coded, grams, hash_strings, mix, starts, words_of
+from .frames import cut, named, small_batches
+from .words import by_slices, coded, grams, hash_strings, mix, starts, trim, words_of
 
 K = 48
 MISS = 1e-8
@@ -108,6 +108,7 @@ def similar(a: pa.Array, b: pa.Array, percent: int) -> pa.Array:
         both.sort()
         common = int((both[1:] == both[:-1]).sum())
         out.append(100 * common >= percent * (len(both) - common))
+    trim()
     return pa.array(out, pa.bool_())
 
 
@@ -130,6 +131,7 @@ def _difference(a: pa.Array, b: pa.Array) -> pa.Array:
         single[1:] &= ~same
         single[:-1] &= ~same
         out.append(both[single])
+    trim()
     return pa.array(out, pa.list_(pa.int64()))
 
 
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     verify = F.arrow_udf(lambda a, b: similar(a, b, percent), "boolean")
 
     # 1. sketches of all documents, classes of equal sets
-    rows = cut(docs.select(named(docs, key).alias("id"), sketch(whole).alias("x")).select("id", "x.n", "x.s1", "x.s2", "x.sketch"))
+    rows = cut(small_batches(docs).select(named(docs, key).alias("id"), sketch(whole).alias("x")).select("id", "x.n", "x.s1", "x.s2", "x.sketch"))
     classes = cut(rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     # 2. inverted lists of the rarest values

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import free_name, named
+from .frames import free_name, named, small_batches
 from .quality_rules import _cells, _dup_lines, _repeat_words
 from .words import by_slices, coded, words_of
 
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def work(texts: pa.Array) -> pa.Array:
         return by_slices(texts, lambda part: pa.array([r.tobytes() for r in features(part)], pa.binary()), pa.binary())
 
-    chosen = docs.select(named(docs, key).alias("_id"), named(docs, text).cast("string").alias("_text")).join(F.broadcast(rows), "_id")
+    chosen = small_batches(docs).select(named(docs, key).alias("_id"), named(docs, text).cast("string").alias("_text")).join(F.broadcast(rows), "_id")
     got = chosen.select("_id", "_y", F.arrow_udf(work, "binary")("_text").alias("_x")).toArrow().sort_by([("_id", "ascending")])
     x = np.frombuffer(b"".join(got["_x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     return learn(x, got["_y"].to_numpy())
@@ -148,7 +148,7 @@ def score(docs: DataFrame, ranker: Ranker, text: str = "text", out: str = "score
     def work(texts: pa.Array) -> pa.Array:
         return by_slices(texts, lambda part: pa.array(ranker.score(features(part))), pa.float64())
 
-    return docs.withColumn(free_name(docs, out), F.arrow_udf(work, "double")(named(docs, text).cast("string")))
+    return small_batches(docs).withColumn(free_name(docs, out), F.arrow_udf(work, "double")(named(docs, text).cast("string")))
 
 
 def at_quantile(scored: DataFrame, share: float, column: str = "score", out: str = "kept") -> DataFrame:

@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import free_name, named
-from .words import by_slices, coded, grams, hash_strings, mix, slices, words_of
+from .frames import free_name, named, small_batches
+from .words import by_slices, coded, grams, hash_strings, mix, slices, trim, words_of
 
 BUCKETS = 1 << 15
 PRIOR = 0.1
@@ -122,6 +122,7 @@ def _counting(buckets: int):
                 raw += np.bincount(cells, minlength=buckets)
                 target += np.bincount(cells[trusted[done : done + len(texts)][of]], minlength=buckets)
                 done += len(texts)
+            trim()
         met = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(raw[met]), pa.array(target[met])], names=["cell", "raw", "target"])
 
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", key: str =
     driver is ``buckets`` rows at most, whatever the input.
     """
     ids = trusted_ids.select(named(trusted_ids, key).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(True))
-    rows = docs.select(named(docs, text).cast("string").alias("_text"), named(docs, key).alias("_id"))
+    rows = small_batches(docs).select(named(docs, text).cast("string").alias("_text"), named(docs, key).alias("_id"))
     rows = rows.join(ids.hint("shuffle_hash"), "_id", "left").select("_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
     counts = rows.mapInArrow(_counting(buckets), "cell bigint, raw bigint, target bigint").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -152,7 +153,7 @@ def metrics(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str =
     def work(texts: pa.Array) -> pa.Array:
         return by_slices(texts, lambda part: _metrics(part, weights), METRICS)
 
-    return docs.withColumn(free_name(docs, out), F.arrow_udf(work, METRICS_DDL)(named(docs, text).cast("string")))
+    return small_batches(docs).withColumn(free_name(docs, out), F.arrow_udf(work, METRICS_DDL)(named(docs, text).cast("string")))
 
 
 def verdicts(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: float = THRESHOLD, out: str = "quality") -> DataFrame:
