@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .frames import cut
+
 FANOUT = 16
 FILE_IDS = 512
 DATE = "2024-01-01T00:00:00Z"
@@ -89,7 +91,8 @@ def depth(records: DataFrame, fanout: int = FANOUT) -> int:
 def root(nodes: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
     """One row with the digest of a replica: of its files, in ranges of their numbers."""
     level = nodes.where(F.col("level") == levels).select(F.col("file").alias("child"), "digest")
-    for _ in range(16):  # file numbers are 64 bits
+    most = level.agg(F.max(F.abs("child"))).first()[0] or 0
+    for _ in range(max(1, -(-most.bit_length() // 4))):  # until one range, and one of negative numbers, is left
         members = F.transform(F.array_sort(F.collect_list(F.struct("child", "digest"))), lambda x: F.concat_ws(":", x["child"].cast("string"), x["digest"]))
         level = level.groupBy(F.shiftright("child", 4).alias("child")).agg(F.sha2(F.array_join(members, "|").cast("binary"), 256).alias("digest"))
     return level.groupBy().agg(F.array_join(F.array_sort(F.collect_list("digest")), "|").alias("root"))
@@ -101,7 +104,7 @@ def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
     ``a`` and ``b`` are manifests as :func:`layout` gives them, with digests of what was read.
     """
     levels = max(depth(a, fanout), depth(b, fanout))
-    first, second = tree(a, levels, fanout), tree(b, levels, fanout)
+    first, second = cut(tree(a, levels, fanout)), cut(tree(b, levels, fanout))
     if root(first, levels, fanout).first() == root(second, levels, fanout).first():
         open_nodes = first.limit(0).select("file", "node")
     else:
