@@ -1,14 +1,22 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, and by passages.
 
-Method.  Lines (cut at ``\\n``) are hashed, and a rolling hash over ``WINDOW``
-line hashes marks a boundary after a line where it is divisible by ``DIVISOR``.
-Chunks have ``MIN_LINES`` lines at least (a shorter rest joins the chunk before
-it), so the cuts depend on the lines nearby and line up again after an insertion.
+Method.  Lines (cut at ``\\n``) are hashed, and a line whose hash is divisible by
+``DIVISOR`` ends a segment; segments are cut into chunks of ``MIN_LINES`` lines
+(a shorter rest joins the chunk before it).  A boundary thus depends on the lines
+since the last marked one, and cuts line up again behind the next marked line.
 Chunks whose hash stands once in the corpus stay.  Those of the others are
 grouped by their bytes, which settles hash collisions; of equal ones, the first
 by (id, position) stays and the rest are removed with their line ends.
 
-Only chunks of at least ``MIN_LINES`` lines with a word can be removed.  Chunk
+Limits of chunks: of a passage that is shared by texts which differ around it,
+only chunks that lie wholly inside in both texts go, so a short one often
+stays (figures in the README).  ``passages`` has no such limit: every window of
+``MIN_LINES`` lines with a word (and the blank lines between) that stands before
+goes as well, so of a shared run of that many lines nothing stays but its first
+copy.  Windows overlap; of every line at least the first occurrence stays.  A
+passage of one line with a word is not found by either.
+
+Only chunks of at least ``MIN_LINES`` lines with a word can be removed.  Chunk and window
 hashes are written once as narrow rows; the count of a frequent hash is combined
 before the shuffle, and so is the choice of the first of equal chunks, so a
 chunk that a third of all documents share lands in no single task.  The texts
@@ -29,96 +37,130 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut, free_name, named, small_batches
-from .words import by_slices, coded, hash_strings, mix, slices, trim
+from .words import by_slices, coded, grams, hash_strings, mix, slices, trim
 
-WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
 
-def chunks(texts: pa.Array) -> tuple[list[list[str]], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Of each text: its lines, the ends of its chunks, their hashes, and whether they may be removed."""
+def _parsed(texts: pa.Array) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of each text; of all lines, the hashes and whether they have a word; the first line of each text, and the end."""
     lists = pc.split_pattern(texts, "\n")
     count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     codes, distinct = coded(pc.list_flatten(lists))
-    h = hash_strings(distinct)[codes]
     worded = pc.match_substring_regex(distinct, r"[^\x20\x09-\x0D]").to_numpy(zero_copy_only=False)[codes]
-    ends_at = np.cumsum(count)
-    with np.errstate(over="ignore"):
-        rolling = h.copy()
-        for i in range(1, WINDOW):  # lines before the text's first count as 0
-            before = np.concatenate([np.zeros(min(i, len(h)), np.uint64), h[:-i]])
-            inside = np.arange(len(h)) - np.repeat(ends_at - count, count) >= i
-            rolling = rolling + np.where(inside, before, np.uint64(0)) * _BASE ** np.uint64(i)
-        marks = mix(rolling) % np.uint64(DIVISOR) == 0
-    lines, ends, hashes, free = [], [], [], []
-    values = lists.to_pylist()
-    for i, (start, n) in enumerate(zip((ends_at - count).tolist(), count.tolist(), strict=True)):
-        cuts, last = [], 0
-        for c in (np.flatnonzero(marks[start : start + n]) + 1).tolist():
-            if c - last >= MIN_LINES:
-                cuts.append(c)
-                last = c
-        if n - last >= MIN_LINES or not cuts:
-            cuts.append(n)
-        else:
-            cuts[-1] = n
-        edge = np.array(cuts)
+    return lists.to_pylist(), hash_strings(distinct)[codes], worded, np.concatenate([[0], np.cumsum(count)])
+
+
+def _edges(marks: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of a text, from the marks of its lines."""
+    n, segments, cuts = len(marks), [0], []
+    for c in (np.flatnonzero(marks) + 1).tolist():
+        if c - segments[-1] >= MIN_LINES:
+            segments.append(c)
+    if n - segments[-1] >= MIN_LINES or len(segments) == 1:
+        segments.append(n)
+    else:
+        segments[-1] = n
+    for start, end in zip(segments, segments[1:], strict=False):
+        cuts += [*range(start + MIN_LINES, end - MIN_LINES + 1, MIN_LINES), end]
+    return np.array(cuts)
+
+
+def _chunks(h: np.ndarray, worded: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    marks = mix(h) % np.uint64(DIVISOR) == 0
+    ends, hashes, free = [], [], []
+    for start, end in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+        edge = _edges(marks[start:end])
         first = np.concatenate([[0], edge[:-1]])
         with np.errstate(over="ignore"):
-            place = np.arange(n) - np.repeat(first, edge - first)
-            part = mix(h[start : start + n] + mix(place.astype(np.uint64) + np.uint64(1)))
+            place = np.arange(end - start) - np.repeat(first, edge - first)
+            part = mix(h[start:end] + mix(place.astype(np.uint64) + np.uint64(1)))
             hashes.append(mix(np.add.reduceat(part, first)).view(np.int64))
-        lines.append(values[i])
         ends.append(edge)
-        free.append(np.add.reduceat(worded[start : start + n].astype(np.int64), first) >= MIN_LINES)
-    return lines, ends, hashes, free
+        free.append(np.add.reduceat(worded[start:end].astype(np.int64), first) >= MIN_LINES)
+    return ends, hashes, free
+
 
+def _windows(h: np.ndarray, worded: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text: (first line, end) of every run of ``MIN_LINES`` lines with a word, blank ones between, and the hashes."""
+    at = np.flatnonzero(worded)
+    of = np.searchsorted(starts, at, side="right") - 1
+    back = MIN_LINES - 1
+    own = np.flatnonzero(of[back:] == of[: len(of) - back])
+    spans = np.stack([at[own], at[own + back] + 1], axis=1) - starts[of[own]][:, None]
+    hashes = mix(grams(h[at], MIN_LINES)[own]).view(np.int64)
+    places = np.searchsorted(of[own], np.arange(1, len(starts) - 1))
+    return np.split(spans, places), np.split(hashes, places)
 
-def _hashes(texts: pa.Array) -> pa.Array:
-    _, _, hashes, free = chunks(texts)
+
+def chunks(texts: pa.Array) -> tuple[list[list[str]], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Of each text: its lines, the ends of its chunks, their hashes, and whether they may be removed."""
+    lines, *parsed = _parsed(texts)
+    return (lines, *_chunks(*parsed))
+
+
+def _spans(texts: pa.Array, passages: bool) -> tuple[list[list[str]], list[np.ndarray], list[int]]:
+    """Of each text: its lines, (first line, end) of its chunks and then of its windows, and the number of chunks."""
+    lines, *parsed = _parsed(texts)
+    ends, _, _ = _chunks(*parsed)
+    spans = [np.stack([np.concatenate([[0], e[:-1]]), e], axis=1) for e in ends]
+    if passages:
+        spans = [np.concatenate(x) for x in zip(spans, _windows(*parsed)[0], strict=True)]
+    return lines, spans, list(map(len, ends))
+
+
+def _hashes(texts: pa.Array, passages: bool) -> pa.Array:
+    _, *parsed = _parsed(texts)
+    _, hashes, free = _chunks(*parsed)
+    if passages:
+        windows = _windows(*parsed)[1]
+        hashes = [np.concatenate(x) for x in zip(hashes, windows, strict=True)]
+        free = [np.concatenate([f, np.ones(len(w), bool)]) for f, w in zip(free, windows, strict=True)]
     return pa.array([pa.array(h, mask=~f) for h, f in zip(hashes, free, strict=True)], pa.list_(pa.int64()))
 
 
-def _bytes(texts: pa.Array, numbers: pa.Array) -> pa.Array:
-    """The text of each of the chunks ``numbers``."""
+def _bytes(texts: pa.Array, numbers: pa.Array, passages: bool) -> pa.Array:
+    """The text of each of the chunks and windows ``numbers``."""
     out, at = [], 0
     wanted = numbers.to_pylist()
     for part in slices(texts):
-        lines, ends, _, _ = chunks(pc.fill_null(part, ""))
-        for own, edge in zip(lines, ends, strict=True):
-            start = np.concatenate([[0], edge])
-            out.append([{"n": n, "chunk": "\n".join(own[start[n] : edge[n]])} for n in wanted[at] or []])
+        for own, spans, n_chunks in zip(*_spans(pc.fill_null(part, ""), passages), strict=True):
+            out.append([{"n": n, "window": n >= n_chunks, "chunk": "\n".join(own[slice(*spans[n])])} for n in wanted[at] or []])
             at += 1
     trim()
-    return pa.array(out, pa.list_(pa.struct([("n", pa.int32()), ("chunk", pa.string())])))
+    return pa.array(out, pa.list_(pa.struct([("n", pa.int32()), ("window", pa.bool_()), ("chunk", pa.string())])))
 
 
-def _without(texts: pa.Array, repeated: pa.Array, firsts: pa.Array) -> pa.Array:
+def _without(texts: pa.Array, repeated: pa.Array, firsts: pa.Array, passages: bool) -> pa.Array:
     out, at = [], 0
     repeated, firsts = repeated.to_pylist(), firsts.to_pylist()
     for part in slices(texts):
-        lines, ends, _, _ = chunks(pc.fill_null(part, ""))
-        for text, own, edge in zip(part.to_pylist(), lines, ends, strict=True):
-            gone = set(repeated[at] or ()) - set(firsts[at] or ())
+        for text, own, spans, n_chunks in zip(part.to_pylist(), *_spans(pc.fill_null(part, ""), passages), strict=True):
+            gone = sorted(set(repeated[at] or ()) - set(firsts[at] or ()))
             at += 1
             n = 0 if text is None else len(own)
-            if not gone:
-                out.append({"text": text, "n_lines": n, "n_removed": 0})
-                continue
-            start = np.concatenate([[0], edge])
-            kept = [line for k in range(len(edge)) if k not in gone for line in own[start[k] : edge[k]]]
-            out.append({"text": "\n".join(kept), "n_lines": n, "n_removed": n - len(kept)})
+            row = {"text": text, "n_lines": n, "n_removed": 0, "unrepeated": text, "n_repeated": 0}
+            drop = np.zeros(len(own), bool)
+            for numbers, rest, dropped in (([k for k in gone if k < n_chunks], "text", "n_removed"), ([k for k in gone if k >= n_chunks], "unrepeated", "n_repeated")):
+                for k in numbers:
+                    drop[slice(*spans[k])] = True
+                if drop.any():
+                    row |= {rest: "\n".join([x for x, d in zip(own, drop.tolist(), strict=True) if not d]), dropped: int(drop.sum())}
+            out.append(row)
     trim()
-    return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]))
+    fields = [("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]
+    return pa.array(out, pa.struct(fields + [("unrepeated", pa.string()), ("n_repeated", pa.int64())] * passages))
+
 
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "lines", passages: bool = False) -> DataFrame:
+    """``docs`` with a struct ``out``: ``text`` without repeated chunks, ``n_lines`` before and ``n_removed``.
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "lines") -> DataFrame:
-    """``docs`` with a struct ``out``: ``text`` without repeated chunks, ``n_lines`` before and ``n_removed``."""
+    With ``passages``, the struct also has ``unrepeated``, the text without repeated chunks
+    and windows, and ``n_repeated``, the lines that this lacks.
+    """
     whole = named(docs, text).cast("string")
-    hashes = F.arrow_udf(lambda texts: by_slices(texts, _hashes, pa.list_(pa.int64())), "array<bigint>")
+    hashes = F.arrow_udf(lambda texts: by_slices(texts, lambda part: _hashes(part, passages), pa.list_(pa.int64())), "array<bigint>")
     taken = free_name(docs, "_a"), free_name(docs, "_b")
     a, b = taken
     rows = small_batches(docs).withColumns({a: F.xxhash64(named(docs, key), whole), b: F.hash(whole, named(docs, key))})
@@ -128,11 +170,12 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "
     repeated = marks.join(again, "hash", "left_semi").groupBy(a, b).agg(F.sort_array(F.collect_set("n")).alias("_repeated"))
     met = rows.join(repeated.hint("shuffle_hash"), [a, b], "left")
 
-    read = F.arrow_udf(_bytes, "array<struct<n:int,chunk:string>>")
+    read = F.arrow_udf(lambda texts, numbers: _bytes(texts, numbers, passages), "array<struct<n:int,window:boolean,chunk:string>>")
     found = met.where("_repeated is not null").select(a, b, named(docs, key).alias("_key"), F.explode(read(whole, "_repeated")).alias("_x"))
-    first = found.groupBy(F.col("_x.chunk").alias("chunk")).agg(F.min(F.struct("_key", a, b, "_x.n")).alias("_first"))
+    first = found.groupBy(F.col("_x.window").alias("window"), F.col("_x.chunk").alias("chunk")).agg(F.min(F.struct("_key", a, b, "_x.n")).alias("_first"))
     firsts = first.groupBy(F.col(f"_first.{a}").alias(a), F.col(f"_first.{b}").alias(b)).agg(F.collect_set("_first.n").alias("_firsts"))
     done = met.join(firsts.hint("shuffle_hash"), [a, b], "left")
-    write = F.arrow_udf(_without, "struct<text:string,n_lines:bigint,n_removed:bigint>")
+    more = ",unrepeated:string,n_repeated:bigint" if passages else ""
+    write = F.arrow_udf(lambda texts, again, first: _without(texts, again, first, passages), f"struct<text:string,n_lines:bigint,n_removed:bigint{more}>")
     at = free_name(docs, out)
     return done.select(*[named(docs, c) for c in docs.columns], write(whole, "_repeated", "_firsts").alias(at))

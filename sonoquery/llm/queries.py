@@ -130,8 +130,8 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", *(F.col(f"lines.{c}").alias(c) for c in ("n_lines", "n_removed", "text")))
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
+    return rows.select("doc_id", *(F.col(f"lines.{c}").alias(c) for c in ("n_lines", "n_removed", "text", "n_repeated", "unrepeated")))
 
 
 #: Key of the registered query; a real run passes a secret of its own.

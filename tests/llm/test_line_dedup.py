@@ -58,3 +58,42 @@ def test_cases(spark):
     twice = spark.createDataFrame([(None, page), (None, page), (1, page)], "doc_id long, text string")
     assert sorted(r["lines"].n_removed for r in line_dedup.dedup(twice).collect()) == [0, 0, 30]
     assert line_dedup.dedup(df.where("false")).count() == 0
+
+
+def repeated(docs):
+    """docs: lists of lines, in order.  Of each, the lines in a pair that stood before, pair by pair; lines have words."""
+    seen, out = set(), []
+    for lines in docs:
+        gone = set()
+        for i, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            gone |= {i, i + 1} if pair in seen else set()
+            seen.add(pair)
+        out.append(gone)
+    return out
+
+
+def test_planted_passages(spark):
+    """Passages of 2 to 6 lines, over 50 words each, at other places of other texts."""
+    rng = np.random.default_rng(1)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(10**6, size=30))
+    docs, planted = [], []
+    for i in range(60):
+        passage = [line() for _ in range(2 + i % 5)]
+        for copy in range(2):
+            before = [line() for _ in range(rng.integers(1, 12))]
+            planted += [(len(docs), len(before), len(passage))] * copy
+            docs.append([*before, *passage, *(line() for _ in range(rng.integers(1, 12)))])
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r["lines"] for r in line_dedup.dedup(df, passages=True).collect()}
+    for i, (lines, gone) in enumerate(zip(docs, repeated(docs), strict=True)):
+        assert got[i].unrepeated.split("\n") == [x for k, x in enumerate(lines) if k not in gone] and got[i].n_repeated == len(gone)
+    assert all(got[d].n_repeated == n for d, _, n in planted) and sum(x.n_repeated for x in got.values()) == sum(n for _, _, n in planted)
+    assert 3 * sum(got[d].n_removed > 0 for d, _, n in planted if n >= 4) >= 2 * sum(n >= 4 for _, _, n in planted)  # by chunks
+
+
+def test_passages_odd_rows(spark):
+    texts = ["a b\n\nc d\nx", "y\na b\n\nc d", "a b\n\n\nc d", "c d\nx\nonly", "one line\n", "\none line", None, "", "r\nr\nr", "\n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r["lines"].unrepeated, r["lines"].n_repeated) for r in line_dedup.dedup(df, passages=True).collect()}
+    wanted = {**{i: (t, 0) for i, t in enumerate(texts)}, 1: ("y", 3), 3: ("only", 2), 8: ("r", 2)}
+    assert got == wanted
