@@ -50,10 +50,14 @@ def record(page: Column, url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def layout(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """Manifest of the records in files of ``FILE_IDS`` ids: ``file``, ``number``, ``offset``, ``length``, ``page``, ``digest``."""
+def layout(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html", other: Column | None = None) -> DataFrame:
+    """Manifest of the records in files of ``FILE_IDS`` ids: ``file``, ``number``, ``offset``, ``length``, ``page``, ``digest``.
+
+    With a body ``other``, also ``other``: the digest of the row's record with that body.
+    """
     text = record(F.col(page), F.col(url), F.col(body))
-    rows = pages.select(F.coalesce(F.floor(F.col(page) / FILE_IDS), F.lit(-1)).cast("long").alias("file"), F.col(page).alias("page"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    more = [] if other is None else [F.sha2(record(F.col(page), F.col(url), other).cast("binary"), 256).alias("other")]
+    rows = pages.select(F.coalesce(F.floor(F.col(page) / FILE_IDS), F.lit(-1)).cast("long").alias("file"), F.col(page).alias("page"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"), *more)
     order = Window.partitionBy("file").orderBy("page", "digest")
     return rows.select(
         "file",
@@ -62,6 +66,7 @@ def layout(pages: DataFrame, page: str = "page_id", url: str = "url", body: str
         "length",
         "page",
         "digest",
+        *(["other"] if more else []),
     )
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sonoquery.llm import warc
+from sonoquery.llm.queries import op3_warc_fixity
 
 
 def pages(spark, n=700):
@@ -40,3 +41,16 @@ def test_trees_have_small_groups(spark):
     nodes = warc.tree(a, levels)
     assert levels == 3 and nodes.where("level = 3").count() == 3
     assert warc.root(nodes, levels).count() == 1
+
+
+def test_query_on_null_and_repeated_ids(spark, tmp_path):
+    """Undamaged records without an id aren't reported, and each damaged one of a repeated id once."""
+    more = [(None, "u", "without id"), (None, "u", "another"), (102, "u", "changed by rule, repeated"), (102, "u", "changed by rule, again"), (11, "u", "lost by rule, repeated"), (4, "u", "sound"), (4, "u", "sound")]
+    source = pages(spark, 200).unionByName(spark.createDataFrame(more, "page_id long, url string, html string"))
+    source.write.parquet(str(tmp_path / "pages.parquet"))
+    wanted = []
+    for r in source.collect():
+        if r.page_id is not None and (r.page_id % 103 == 11 or r.page_id % 97 == 5 or r.page_id % 101 == 7):
+            wanted.append((r.page_id, "missing" if r.page_id % 103 == 11 else "changed"))
+    got = [(r.page, r.status) for r in op3_warc_fixity(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(wanted) and got.count((102, "changed")) == 3
