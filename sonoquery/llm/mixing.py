@@ -85,26 +85,30 @@ def inverse(schedule: Sequence[tuple[float, float]], fraction: Column) -> Column
     return F.greatest(F.lit(float(schedule[0][0])), F.least(time, F.lit(float(schedule[-1][0]))))
 
 
-def place(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, schedules=SCHEDULES, whole: bool = False) -> DataFrame:
+def place(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, schedules=SCHEDULES, whole: bool = False, row: str | None = None) -> DataFrame:
     """A row for each document: ``key``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
 
     ``copies`` is an array of (copy, words, position), in ascending order.  The
     last pass over a source ends within a document; that one is taken in part,
-    or, with ``whole``, taken if at least half of it falls in.
+    or, with ``whole``, taken if at least half of it falls in.  With ``row``, a
+    column of that name has the whole row of ``docs`` as a struct.
     """
-    sized = docs.select(named(docs, key).alias("_key"), named(docs, source).alias("source"), words(named(docs, text)).alias("size"))
-    sized = cut(sized.withColumn("_order", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit("")))))
+    wide = docs.select(named(docs, key).alias("_key"), named(docs, source).alias("source"), words(named(docs, text)).alias("size"), F.struct(*(named(docs, c) for c in docs.columns)).alias("_row"))
+    wide = wide.withColumn("_order", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit(""))))
+    sized = cut(wide.drop("_row"))
     bits = max(0, min(28, math.ceil(math.log2(max(1, sized.count()) / BUCKET_ROWS))))
     bucket = F.conv(F.substring("_order", 1, 7), 16, 10).cast("long").bitwiseAND((1 << 28) - 1)
-    sized = sized.withColumn("_bucket", F.shiftright(bucket, 28 - bits))
+    sized, wide = (t.withColumn("_bucket", F.shiftright(bucket, 28 - bits)) for t in (sized, wide))
     buckets = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_in_bucket"))
     sources = targets(buckets.groupBy("source").agg(F.sum("_in_bucket").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)))
     known = buckets.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "_bucket", "_before", "source_size", "turn", "target")
-    rows = sized.alias("d").join(known.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d._bucket") == F.col("k._bucket")))
-    rows = rows.select("_key", "d.source", "size", "_order", "d._bucket", "_before", "source_size", "turn", "target")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (wide if row else sized).alias("d").join(known.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d._bucket") == F.col("k._bucket")))
+    rows = rows.select("_key", "d.source", "size", "_order", "d._bucket", "_before", "source_size", "turn", "target", *(["_row"] if row else []))
+    # rows of one id and size go by their text
+    ties = [F.xxhash64(F.col("_row")[text])] if row else []
+    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "_key", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("_passes", passes).withColumn("_rest", F.floor(F.col("target") - passes * F.col("source_size")).cast("long"))
@@ -124,17 +128,18 @@ def place(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     n = F.when(F.col("size") > 0, F.col("_passes") + (F.col("_part") > 0).cast("long")).otherwise(F.lit(0))
     copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), copy), lambda c: c["copy"] < n)
     taken = F.col("size") * F.col("_passes") + F.col("_part")
-    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), *([F.col("_row").alias(row)] if row else []))
 
 
 def training_order(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """Rows of ``docs``, once for each copy that the mix takes whole, range-sorted by position.
 
-    Ids are expected to be unique.  Of rows that share an id, each stands as often
-    as the mix takes all of them.  Null ids are ids like others.
+    The rows go along with their places and are joined to nothing by id, so that rows
+    with the same id, or none, meet their own copies only.
     """
-    placed = place(docs, key=key, whole=True, **how)
+    placed = place(docs, key=key, whole=True, row="_row", **how)
     at = free_name(docs, "position")
-    copies = placed.select(F.col(key).alias("_key"), F.explode("copies").alias("_copy")).select("_key", F.col("_copy.copy").alias("_copy"), F.col("_copy.position").alias(at))
-    rows = docs.join(copies.hint("shuffle_hash"), named(docs, key).eqNullSafe(F.col("_key")))
-    return rows.repartitionByRange(F.col(at), F.col("_key")).sortWithinPartitions(at, "_key", "_copy").drop("_key", "_copy")
+    rows = placed.select("_row", F.explode("copies").alias("_copy"))
+    order = F.col("_copy")["position"], F.col("_row")[key]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("_copy")["copy"])
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns), order[0].alias(at))

@@ -87,3 +87,14 @@ def test_training_order(spark):
     assert at == sorted(at) and len(rows) == sum(len(c) for c in placed.values())
     for r in rows:
         assert any(c.position == r["position_"] and c.words == len(r.text.split()) for c in placed[r.doc_id])
+
+
+def test_training_order_of_repeated_ids(spark):
+    """Rows that share an id, or have none, each stand as often as the mix takes them."""
+    rows = [(None if i % 3 else 5, "w " * (i % 4 + 1), "s" + str(i % 2), i) for i in range(90)] + [(5, "w x", "s0", 90), (None, None, "s1", 91)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    taken = sum(len(r.copies) for r in mixing.place(df, whole=True).collect())
+    got = mixing.training_order(df).collect()
+    assert len(got) == taken and all(tuple(r)[:4] in rows for r in got)
+    times = [sum(r.n == n for r in got) for n in range(92)]
+    assert max(times) == 2 and times[91] == 0 and len({(r.n, r.position) for r in got}) == len(got)
