@@ -9,26 +9,29 @@ hash function); its sketch are the ``K`` smallest of them.
    values in order of their frequency, it therefore suffices to list the
    rarest ``(1 - share) * K + 1``.  Values of one class only, mostly all of them,
    are in no list.
-3. Every member of a list is compared to the list's least member.  A pair whose
+3. Lists are dealt to blocks of about ``BLOCK`` members, which are compared to the
+   block's least member, and the heads of blocks likewise.  A pair whose
    union sketch (the ``K`` smallest of both) estimates too low a similarity is
    dropped; the rest is verified by exact Jaccard on the full sets.  Links
    make components.
 4. Only pairs of a list that lie in different components are left.  Those of
    lists of at most ``SHORT`` members are made once each, filtered by the estimate
-   within the join.  In longer lists, the members' differences from the list's
-   head are indexed (:func:`by_difference`), which finds all links among them
-   without pairing members that differ from the head in ways of their own.  The
-   pairs are verified in the same way, and the components are made anew.
+   within the join.  In longer lists, the members' differences from what most of
+   them have are indexed (:func:`by_difference`), which finds all links among them
+   without pairing members that differ in ways of their own, whatever passages they
+   share.  The pairs are verified in the same way, and the components are made anew.
 
-Lists, links and components stay distributed; joins on frequent values or
-classes are left to Spark's skew handling, and counts are combined before the
+Lists, links and components stay distributed; rows of a long list are joined by
+block or salt, frequent classes are left to Spark's skew handling, and counts are combined before the
 shuffle.
 
 Defined results: without words (or text) the set is empty, and the document is
 linked with nothing.  With fewer words than a shingle has, the whole sequence is
 the only shingle.  Rows with a null key are linked with nothing and have a null
 component.  Rows that share a key count as one document with all their sets.  An
-empty table gives an empty result.
+empty table gives an empty result.  Texts of any length are taken whole, in a Python
+worker one at a time beyond a slice's size.  Only ``text`` and ``key`` are read, so
+further columns may have any name.
 """
 
 from __future__ import annotations
@@ -43,13 +46,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, named, small_batches
+from .frames import cut, drop_cut, named, small_batches
 from .words import by_slices, coded, grams, hash_strings, mix, starts, trim, words_of
 
 K = 48
 MISS = 1e-8
-#: Lists of more members are taken apart by their differences from the head.
+#: Lists of more members are taken apart by their differences from a center.
 SHORT = 64
+#: Nodes of a list that one head is compared to.
+BLOCK = 256
+#: Tasks that the rows of one family are dealt to, at least.
+SALTS = 16
 
 SET = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 SET_DDL = "struct<n:bigint,s1:bigint,s2:bigint,sketch:array<bigint>>"
@@ -120,11 +127,12 @@ def likely(a: Column, b: Column, na: Column, nb: Column, k: int, percent: int, s
     return sizes & (shared >= F.lit(share) * F.size(union))
 
 
-def _difference(a: pa.Array, b: pa.Array) -> pa.Array:
-    """What is in one of two packed sets."""
+def _difference(centers: pa.Array, sets: pa.Array) -> pa.Array:
+    """What is in one of a center (a list, null for an empty one) and a packed set."""
     out = []
-    for x, y in zip(a, b, strict=True):
-        both = np.concatenate([np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)])
+    for x, y in zip(centers, sets, strict=True):
+        own = np.frombuffer(y.as_buffer(), np.int64)
+        both = np.concatenate([x.values.to_numpy(), own]) if x.is_valid else own.copy()
         both.sort()
         same = both[1:] == both[:-1]
         single = np.ones(len(both), bool)
@@ -135,53 +143,107 @@ def _difference(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def by_difference(families: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) in different components among the nodes that share a head.
+def _unpacked(sets: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in sets], pa.list_(pa.int64()))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` once for each salt, for joins to rows of one key that are dealt by :func:`_salt`."""
+    return df.withColumn("salt", F.explode(F.lit(list(range(SALTS)))))
 
-    ``families`` has ``head``, ``node``, ``component`` and the packed sets ``set_h``
-    and ``set``.  With D(x) for what x and the head don't have in common, x and y
-    differ in |D(x)| + |D(y)| - 2 c places, where c counts what D(x) and D(y) share.
-    Similar sets differ in at most r (|x| + |y|), r = (100 - percent) / (100 +
-    percent), so c has a lower bound.  If x isn't similar to the head, |D(x)| is
-    above r (|x| + |head|), and for any similar y
 
-        c > (|D(y)| + r (|head| - |y|)) / 2;
+def _salt() -> Column:
+    return F.pmod(F.hash("node"), F.lit(SALTS))
 
-    and as |y| <= |head| + |D(y)| and |D(y)| >= c, also
 
-        c >= (|D(x)| - r (|x| + |head|)) / (1 + r).
+def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components among the nodes that share a family.
 
-    Nodes that are similar to their head, but not in its component, are paired with
-    it.  Of two others in different components, one isn't similar to the head, so all
-    links are found by inverted lists of the rarest |D| - bound + 1 members of each
-    D.  ``head`` names a component.  Independent changes are in no list, as they are in one D only: a large group
-    of copies that differ each in its own way gives no pairs.
+    ``families`` has ``family`` (an integer), ``node`` and ``component``; ``full`` the
+    packed sets by node.  A family's center C has the members that more than half of
+    its sets have.  With D(x) for what x and C don't have in common, x and y differ in
+    |D(x)| + |D(y)| - 2 c places, where c counts what D(x) and D(y) share.  Similar sets
+    differ in at most r (|x| + |y|), r = (100 - percent) / (100 + percent), so with
+    g(x) = |D(x)| - r |x| they are similar if and only if
+
+        2 c >= g(x) + g(y).
+
+    Let o be the node with the least g.  Nodes with g(x) <= -g(o) are similar to o,
+    whatever c is: each is paired with o, and they count as one component.  Any pair
+    that is left has one of the others, x, and needs c >= (g(x) + g(o)) / 2 > 0.  Pairs
+    therefore come from inverted lists of the rarest |D| - bound + 1 members of each D.
+    Independent changes are in one D only, and what most of the family has is in the
+    center, so a large group of copies with changes of their own gives no pairs,
+    whatever passages they all have in common.  In lists of at most ``short`` nodes,
+    pairs are made and c is counted within the join.  A longer list, whose nodes have
+    a further passage in common, is a family of its own in the next round, with a center
+    of its own; lists of the same nodes become one.  A member of a D is missing from
+    at least half of the family's, so families halve with each round.
+    """
+    p, q = 100 + percent, 100 - percent  # r = q / p; g below is p times that of the text
+    difference, unpacked = F.arrow_udf(_difference, "array<bigint>"), F.arrow_udf(_unpacked, "array<bigint>")
+    found = families.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    while families.take(1):
+        rows = families.join(full, "node")
+        members = families.groupBy("family").agg(F.count("*").alias("members"))
+        # what half of more than ``short`` nodes have; any center is right for fewer
+        times = rows.select("family", F.explode(unpacked("set")).alias("e")).groupBy("family", "e").agg(F.count("*").alias("n")).where(F.col("n") > short // 2)
+        centers = times.join(members, "family").where("2 * n > members").groupBy("family").agg(F.collect_list("e").alias("center"))
+        rows = rows.withColumn("salt", _salt()).join(_spread(centers), ["family", "salt"], "left")
+        rows = rows.select("family", "node", "salt", "component", (F.octet_length("set") / 8).cast("long").alias("n"), difference("center", "set").alias("d"))
+        apart = cut(rows.withColumn("g", F.size("d") * p - F.col("n") * q).drop("n"))
+
+        best = apart.groupBy("family").agg(F.min(F.struct("g", "node", "component")).alias("o"))
+        parts = apart.select("family", "node", F.explode("d").alias("e"))
+        shared = parts.groupBy("family", "e").agg(F.count("*").alias("times")).where("times > 1")
+        own = parts.join(shared, ["family", "e"]).groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
+        rows = apart.drop("d").join(_spread(best), ["family", "salt"]).join(own, ["family", "node"], "left")
+        rows = rows.withColumn("far", F.col("g") + F.col("o.g") > 0)
+        bound = F.ceil((F.col("g") + F.when(F.col("far"), F.col("o.g")).otherwise(1 - F.col("o.g"))) / (2 * p)).cast("int")
+        inside = F.when(F.col("far"), F.col("component")).otherwise(F.col("o.component"))
+        kept = F.when(F.size("own") >= bound, F.transform("own", lambda x: x["e"]))
+        direct = F.when(~F.col("far") & (F.col("component") != F.col("o.component")), F.col("o.node"))
+        rows = cut(rows.select("family", "node", "salt", "g", "far", inside.alias("component"), bound.alias("bound"), kept.alias("own"), direct.alias("o")))
+        direct = rows.where("o is not null").select(F.col("o").alias("a"), F.col("node").alias("b"))
+
+        listed = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("bound") + 1))
+        lists = cut(rows.where("own is not null").select("family", listed.alias("e"), "node", "salt", "component", "far"))
+        same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2)]
+        kinds = lists.groupBy("family", "e").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("far").alias("far"), *same)
+        kinds = kinds.where("far and low <> high").groupBy("family", "members", "same0", "same1").agg(F.min("e").alias("e"))
+        kinds = cut(kinds.select("family", "e", "members"))
+
+        near = lists.join(_spread(kinds.where(F.col("members") <= short).select("family", "e")), ["family", "e", "salt"]).select("family", "e", "node")
+        several = near.groupBy("family", "node").agg(F.collect_set("e").alias("values"))
+        near = near.join(several, ["family", "node"]).join(rows.select("family", "node", "component", "far", "g", "own"), ["family", "node"])
+        left, right = (near.select("family", "e", *(F.col(c).alias(c + side) for c in ("node", "component", "far", "g", "own", "values"))) for side in ("_a", "_b"))
+        pairs = left.join(right, ["family", "e"]).where("node_a < node_b and component_a <> component_b and (far_a or far_b)")
+        # a pair is made in the first of its lists only, if what it shares is enough
+        pairs = pairs.where((F.col("e") == F.array_min(F.array_intersect("values_a", "values_b"))) & (F.size(F.array_intersect("own_a", "own_b")) * (2 * p) >= F.col("g_a") + F.col("g_b")))
+        found = found.union(cut(direct.union(pairs.select("node_a", "node_b"))))
+
+        longer = lists.join(_spread(kinds.where(F.col("members") > short).select("family", "e")), ["family", "e", "salt"])
+        families = cut(longer.select(F.xxhash64("family", "e").alias("family"), "node", "component"))
+        for done in (apart, rows, lists, kinds):
+            drop_cut(done)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def block_heads(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect each list of (``value``, ``node``, ``times``): a block of about ``BLOCK`` nodes has a head, and blocks of heads likewise.
+
+    No node thus meets more than about ``BLOCK`` others of a list, however long it is.
     """
-    p, q = 100 + percent, 100 - percent  # r = q / p
-    difference = F.arrow_udf(_difference, "array<bigint>")
-    rows = families.select("head", "node", "component", (F.octet_length("set_h") / 8).cast("long").alias("nh"), (F.octet_length("set") / 8).cast("long").alias("n"), difference("set_h", "set").alias("_d"))
-    rows = cut(rows.withColumn("d", F.size("_d").cast("long")))
-    parts = rows.select("head", "node", F.explode("_d").alias("e"))
-    shared = parts.groupBy("head", "e").agg(F.count("*").alias("times")).where("times > 1")
-    own = parts.join(shared, ["head", "e"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
-    rows = rows.withColumn("far", F.col("d") * p > (F.col("n") + F.col("nh")) * q)
-    own_head = rows.where("not far and component <> head").select(F.col("head").alias("node_a"), F.col("node").alias("node_b"))
-    rows = rows.drop("_d").join(own, ["head", "node"]).withColumn("s", F.size("own").cast("long"))
-    to_far = F.greatest(F.floor((F.col("d") * p + (F.col("nh") - F.col("n")) * q) / (2 * p)) + 1, F.lit(1)).cast("int")
-    to_near = F.greatest(F.ceil((F.col("d") * p - (F.col("n") + F.col("nh")) * q) / (p + q)), F.lit(1)).cast("int")
-
-    def listed(rows: DataFrame, bound: Column, side: str) -> DataFrame:
-        rows = rows.where(F.col("s") >= bound)
-        rows = rows.withColumn("x", F.explode(F.slice("own", F.lit(1), (F.col("s") - bound + 1).cast("int"))))
-        return rows.select("head", F.col("x.e").alias("e"), *(F.col(c).alias(c + side) for c in ("node", "component", "n", "d", "s")))
-
-    needed = (F.col("d_a") + F.col("d_b")) * p - (F.col("n_a") + F.col("n_b")) * q <= F.least("s_a", "s_b") * (2 * p)
-    apart = (F.col("component_a") != F.col("component_b")) & needed
-    far = rows.where("far")
-    first = listed(far, to_far, "_a").join(listed(far, to_far, "_b"), ["head", "e"]).where(apart & (F.col("node_a") < F.col("node_b")))
-    second = listed(far, to_near, "_a").join(listed(rows.where("not far"), to_far, "_b"), ["head", "e"]).where(apart)
-    pairs = first.select("node_a", "node_b").union(second.select("node_a", "node_b")).union(own_head)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    most = lists.agg(F.max("times")).first()[0] or 0
+    members, stars = lists.select("value", "node", "block"), None
+    while True:
+        heads = members.groupBy("value", "block").agg(F.min("node").alias("a"))
+        pairs = members.join(heads, ["value", "block"]).where("node <> a").select("a", F.col("node").alias("b"))
+        stars = pairs if stars is None else stars.union(pairs)
+        most = math.ceil(most / BLOCK)
+        if most <= 1:
+            return stars.distinct()
+        members = heads.select("value", F.col("a").alias("node"), F.floor(F.col("block") / BLOCK).alias("block"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -207,7 +269,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     needed = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("size")).cast("int"))
     # the values of one class only come first in the order, and are in no list
     listed = F.slice("own", F.lit(1), F.greatest(F.size("own") - needed + 1, F.lit(0)))
-    lists = cut(own.where(F.size("own") >= needed).select("node", F.explode(listed).alias("x")).select("node", "x.value"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("times") / BLOCK)).alias("block")
+    lists = cut(own.where(F.size("own") >= needed).select("node", F.explode(listed).alias("x")).select("node", "x.value", "x.times").select("*", block))
 
     # full sets of the classes that are in a list
     asked = lists.select("node").distinct()
@@ -227,16 +290,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
 
     condition = likely(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), k, percent, share)
 
-    # 3. every member of a list against the least one
-    heads = lists.groupBy("value").agg(F.min("node").alias("a"))
-    stars = lists.join(heads, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    # 3. the members of a list against the head of their block
+    stars = cut(block_heads(lists))
     links = cut(linked(with_sketches(stars).where(condition)).distinct())
     found = cut(components(links))
 
-    # 4. pairs of a list in different components: short lists directly, long ones by differences from the head
-    placed = cut(lists.join(found, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component")))
-    mixed = placed.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    short = placed.join(mixed.where(F.col("members") <= SHORT).select("value"), "value", "left_semi")
+    # 4. pairs of a list in different components: short lists directly, long ones by differences from a center
+    placed = cut(lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    short = placed.where(F.col("times") <= SHORT)
+    mixed = short.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    short = short.join(mixed.select("value"), "value", "left_semi")
     several = short.groupBy("node").agg(F.collect_set("value").alias("values"))
     short = short.join(several, "node").join(known, "node")
     left, right = (short.select("value", *(F.col(c).alias(c + side) for c in ("node", "component", "n", "sketch", "values"))) for side in ("_a", "_b"))
@@ -245,15 +308,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     pairs = left.join(right, "value").where("node_a < node_b and component_a <> component_b").where(once & condition)
     pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    # the head is the root of the list's largest component, so that the lists of a group have the same one
-    long = placed.join(mixed.where(F.col("members") > SHORT).select("value"), "value", "left_semi")
-    roots = long.groupBy("value", "component").agg(F.count("*").alias("size")).groupBy("value").agg(F.max(F.struct("size", "component")).alias("_m"))
-    long = long.join(roots.select("value", F.col("_m.component").alias("head")), "value")
-    families = long.select("head", "node", "component").where("node <> head").distinct()
-    families = families.join(full.select(F.col("node").alias("head"), F.col("set").alias("set_h")), "head").join(full, "node")
-    pairs = pairs.union(by_difference(families, percent)).distinct()
+    # a family has the lists with the same largest component, which those of a group of copies mostly share
+    long = placed.where(F.col("times") > SHORT)
+    roots = long.groupBy("value", "times", "component").agg(F.count("*").alias("size")).groupBy("value", "times").agg(F.max(F.struct("size", "component")).alias("_m"), F.count("*").alias("parts"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("times") / BLOCK) - 1))
+    roots = roots.where("parts > 1").select("value", F.xxhash64("_m.component").alias("family"), blocks.alias("block"))
+    families = cut(long.join(roots, ["value", "block"]).select("family", "node", "component").distinct())
+    pairs = pairs.union(by_difference(families, full, percent, SHORT)).distinct()
     more = linked(pairs.join(stars, ["a", "b"], "left_anti"))
     every = cut(components(links.union(more)))
+    for done in (lists, full, stars, links, found, placed, families):
+        drop_cut(done)
 
     # components of all rows
     named_classes = classes.select("s1", "s2", "node").join(every, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))

@@ -114,3 +114,27 @@ def test_long_lists(spark, monkeypatch, short, n, percent):
     root, _ = brute(docs, n, percent)
     assert 5 < len(set(root.values())) < len(docs)
     check(minhash.near_duplicates(df, n=n, percent=percent).collect(), docs, n, percent)
+
+
+def test_candidates_of_a_large_family(spark):
+    """Copies that are mostly not similar to each other but share a text and a passage or two: hardly any pairs, and no link lost."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    base, passages = [rng.choice(words) for _ in range(150)], [[rng.choice(words) for _ in range(40)] for _ in range(2)]
+    docs = {}
+    for i in range(600):
+        text = list(base)
+        for _ in range(rng.choice([2, 12, 25])):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        docs[i] = " ".join(passages[0] + text + passages[1] * (i % 3 == 0))
+    sets = minhash.sets(minhash.pa.array(docs.values()), 5)
+    full = spark.createDataFrame([(i, s.tobytes()) for i, s in zip(docs, sets, strict=True)], "node long, set binary")
+    families = spark.createDataFrame([(1, i, i) for i in docs], "family long, node long, component long")
+    pairs = minhash.by_difference(families, full, 80, 64)
+    assert pairs.count() < 5 * len(docs)  # of 180,000
+    root, _ = brute(docs, 5, 80)
+    have = [{x for x in s.tolist()} for s in sets]
+    real = [(r.a, r.b) for r in pairs.collect() if 100 * len(have[r.a] & have[r.b]) >= 80 * len(have[r.a] | have[r.b])]
+    joined = {r.node: r.component for r in components(spark.createDataFrame(real, "a long, b long")).collect()}
+    assert {i: joined.get(i, i) for i in docs} == root
+    assert 20 < len(set(root.values())) < len(docs)
