@@ -156,8 +156,26 @@ def _salt() -> Column:
     return F.pmod(F.hash("node"), F.lit(SALTS))
 
 
+def _listed(parts: DataFrame) -> DataFrame:
+    """What nodes of different components of a family share: (family, e), how often it occurs and the holder with the least g."""
+    first = F.min(F.struct("g", "node", "component")).alias("o")
+    lists = parts.groupBy("family", "e").agg(F.count("*").alias("times"), F.min("component").alias("low"), F.max("component").alias("high"), first)
+    return lists.where("low <> high").drop("low", "high")
+
+
+def _level(v: Column) -> Column:
+    """Class of a number, ascending with it: steps of 4, and finer than 5% above 128."""
+    return F.when(v < 128, F.floor(v / 4)).otherwise(32 + F.floor(F.log2(v / 128) * 16)).cast("int")
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of (a, component_a, b, component_b) one pair for each two components, written."""
+    low, high = F.least("component_a", "component_b").alias("low"), F.greatest("component_a", "component_b").alias("high")
+    return cut(pairs.groupBy(low, high).agg(F.min(F.struct("a", "b")).alias("x")).select("low", "high", "x.a", "x.b"))
+
+
 def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int) -> DataFrame:
-    """Candidate pairs (a, b) in different components among the nodes that share a family.
+    """Pairs (a, b) that connect all similar nodes of a family, given those that are connected already.
 
     ``families`` has ``family`` (an integer), ``node`` and ``component``; ``full`` the
     packed sets by node.  A family's center C has the members that more than half of
@@ -168,21 +186,29 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
 
         2 c >= g(x) + g(y).
 
-    Let o be the node with the least g.  Nodes with g(x) <= -g(o) are similar to o,
-    whatever c is: each is paired with o, and they count as one component.  Any pair
-    that is left has one of the others, x, and needs c >= (g(x) + g(o)) / 2 > 0.  Pairs
-    therefore come from inverted lists of the rarest |D| - bound + 1 members of each D.
+    1. Let o be the family's node with the least g.  Nodes with g(x) <= -g(o) are similar
+       to o, whatever c is.  So are nodes to the list's least one where D's are
+       listed by their members and the lists that both are in make up for enough of c.
+       Components that such pairs connect become one.
+    2. A pair needs c >= (g(x) + m(x)) / 2, where m(x) is the least g in other components
+       than x's among nodes whose D is large enough for x.  It is above 0 now.  Nodes
+       whose D has fewer members that other components share go, which is
+       repeated while it makes much of a difference.  Pairs of the others meet in
+       inverted lists of the rarest |D| - bound + 1 members of each D.
+    3. In lists of at most ``short`` nodes, pairs are made and c is counted within the
+       join.  A longer list, whose nodes have a further passage in common, is
+       a family of its own in the next round, with a center of its own; lists of the same
+       nodes become one.  A member of a D is missing from at least half of the
+       family's, so families halve with each round.
+
     Independent changes are in one D only, and what most of the family has is in the
     center, so a large group of copies with changes of their own gives no pairs,
-    whatever passages they all have in common.  In lists of at most ``short`` nodes,
-    pairs are made and c is counted within the join.  A longer list, whose nodes have
-    a further passage in common, is a family of its own in the next round, with a center
-    of its own; lists of the same nodes become one.  A member of a D is missing from
-    at least half of the family's, so families halve with each round.
+    whatever passages they all have in common.  Between two components one pair is given.
     """
     p, q = 100 + percent, 100 - percent  # r = q / p; g below is p times that of the text
     difference, unpacked = F.arrow_udf(_difference, "array<bigint>"), F.arrow_udf(_unpacked, "array<bigint>")
-    found = families.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    found = families.select(F.col("component").alias("low"), F.col("component").alias("high"), F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    last = found
     while families.take(1):
         rows = families.join(full, "node")
         members = families.groupBy("family").agg(F.count("*").alias("members"))
@@ -193,38 +219,58 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         rows = rows.select("family", "node", "salt", "component", (F.octet_length("set") / 8).cast("long").alias("n"), difference("center", "set").alias("d"))
         apart = cut(rows.withColumn("g", F.size("d") * p - F.col("n") * q).drop("n"))
 
+        # 1. nodes that the least one of a family or list is surely similar to
         best = apart.groupBy("family").agg(F.min(F.struct("g", "node", "component")).alias("o"))
-        parts = apart.select("family", "node", F.explode("d").alias("e"))
-        shared = parts.groupBy("family", "e").agg(F.count("*").alias("times")).where("times > 1")
-        own = parts.join(shared, ["family", "e"]).groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
-        rows = apart.drop("d").join(_spread(best), ["family", "salt"]).join(own, ["family", "node"], "left")
-        rows = rows.withColumn("far", F.col("g") + F.col("o.g") > 0)
-        bound = F.ceil((F.col("g") + F.when(F.col("far"), F.col("o.g")).otherwise(1 - F.col("o.g"))) / (2 * p)).cast("int")
-        inside = F.when(F.col("far"), F.col("component")).otherwise(F.col("o.component"))
-        kept = F.when(F.size("own") >= bound, F.transform("own", lambda x: x["e"]))
-        direct = F.when(~F.col("far") & (F.col("component") != F.col("o.component")), F.col("o.node"))
-        rows = cut(rows.select("family", "node", "salt", "g", "far", inside.alias("component"), bound.alias("bound"), kept.alias("own"), direct.alias("o")))
-        direct = rows.where("o is not null").select(F.col("o").alias("a"), F.col("node").alias("b"))
-
+        near = apart.drop("d").join(_spread(best), ["family", "salt"]).where("g + o.g <= 0 and component <> o.component")
+        parts = apart.select("family", "node", "component", "g", F.explode("d").alias("e"))
+        alike = parts.join(_listed(parts), ["family", "e"]).where("component <> o.component").groupBy("family", "node", "component", "g", "o").agg(F.count("*").alias("c")).where(F.col("c") * (2 * p) >= F.col("g") + F.col("o.g"))
+        sides = F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("o.node").alias("b"), F.col("o.component").alias("component_b")
+        direct = _one_each(near.select(*sides).union(alike.select(*sides)))
+        joined = components(direct.union(last), "low", "high").select(F.col("node").alias("component"), F.col("component").alias("_new"))
+        rows = cut(apart.join(_spread(joined), ["component", "salt"], "left").withColumn("component", F.coalesce("_new", "component")).drop("_new"))
+
+        # 2. lists of the rarest members
+        near, left_over = rows, None
+        while True:
+            half = F.col("g") / (2 * p)
+            near = near.withColumn("level", _level(F.size("d") - half))
+            least = near.groupBy("family", "level", "component").agg(F.min("g").alias("g"))
+            first = least.groupBy("family", "level").agg(F.min(F.struct("g", "component")).alias("o"))
+            second = least.join(first, ["family", "level"]).where("component <> o.component").groupBy("family", "level").agg(F.min(F.struct("g", "component")).alias("o"))
+            limits = first.union(second).groupBy("family").agg(F.collect_list(F.struct("level", "o")).alias("limits"))
+            fit = F.filter("limits", lambda x: (x["level"] >= _level(half)) & (x["o"]["component"] != F.col("component")))  # noqa: B023
+            bound = F.ceil((F.col("g") + F.array_min(F.transform(fit, lambda x: x["o"]["g"]))) / (2 * p)).cast("int")
+            near = near.drop("level").join(_spread(limits), ["family", "salt"]).withColumn("bound", bound).drop("limits").where("size(d) >= bound")
+            parts = near.select("family", "node", "component", "g", F.explode("d").alias("e"))
+            own = parts.join(_listed(parts), ["family", "e"]).groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
+            near = near.drop("d").join(own, ["family", "node"]).where("size(own) >= bound")
+            near = cut(near.withColumn("d", F.transform("own", lambda x: x["e"])).select("family", "node", "salt", "component", "g", "bound", "d"))
+            before, left_over = left_over, near.count()
+            if not left_over or before is not None and left_over > 0.8 * before:
+                break
+            near = near.drop("bound")
+        near = near.withColumnRenamed("d", "own")
         listed = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("bound") + 1))
-        lists = cut(rows.where("own is not null").select("family", listed.alias("e"), "node", "salt", "component", "far"))
+        lists = cut(near.select("family", listed.alias("e"), "node", "salt", "component"))
         same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2)]
-        kinds = lists.groupBy("family", "e").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("far").alias("far"), *same)
-        kinds = kinds.where("far and low <> high").groupBy("family", "members", "same0", "same1").agg(F.min("e").alias("e"))
+        kinds = lists.groupBy("family", "e").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), *same)
+        kinds = kinds.where("low <> high").groupBy("family", "members", "same0", "same1").agg(F.min("e").alias("e"))
         kinds = cut(kinds.select("family", "e", "members"))
 
-        near = lists.join(_spread(kinds.where(F.col("members") <= short).select("family", "e")), ["family", "e", "salt"]).select("family", "e", "node")
-        several = near.groupBy("family", "node").agg(F.collect_set("e").alias("values"))
-        near = near.join(several, ["family", "node"]).join(rows.select("family", "node", "component", "far", "g", "own"), ["family", "node"])
-        left, right = (near.select("family", "e", *(F.col(c).alias(c + side) for c in ("node", "component", "far", "g", "own", "values"))) for side in ("_a", "_b"))
-        pairs = left.join(right, ["family", "e"]).where("node_a < node_b and component_a <> component_b and (far_a or far_b)")
+        # 3. pairs of short lists, and long lists as families
+        few = lists.join(_spread(kinds.where(F.col("members") <= short).select("family", "e")), ["family", "e", "salt"]).select("family", "e", "node")
+        several = few.groupBy("family", "node").agg(F.collect_set("e").alias("values"))
+        few = few.join(several, ["family", "node"]).join(near.select("family", "node", "component", "g", "own"), ["family", "node"])
+        left, right = (few.select("family", "e", *(F.col(c).alias(c + side) for c in ("node", "component", "g", "own", "values"))) for side in ("_a", "_b"))
         # a pair is made in the first of its lists only, if what it shares is enough
-        pairs = pairs.where((F.col("e") == F.array_min(F.array_intersect("values_a", "values_b"))) & (F.size(F.array_intersect("own_a", "own_b")) * (2 * p) >= F.col("g_a") + F.col("g_b")))
-        found = found.union(cut(direct.union(pairs.select("node_a", "node_b"))))
-
+        once = F.col("e") == F.array_min(F.array_intersect("values_a", "values_b"))
+        enough = F.size(F.array_intersect("own_a", "own_b")) * (2 * p) >= F.col("g_a") + F.col("g_b")
+        pairs = left.join(right, ["family", "e"]).where("node_a < node_b and component_a <> component_b").where(once & enough)
+        last = _one_each(pairs.select(F.col("node_a").alias("a"), "component_a", F.col("node_b").alias("b"), "component_b"))
+        found = found.union(direct).union(last)
         longer = lists.join(_spread(kinds.where(F.col("members") > short).select("family", "e")), ["family", "e", "salt"])
         families = cut(longer.select(F.xxhash64("family", "e").alias("family"), "node", "component"))
-        for done in (apart, rows, lists, kinds):
+        for done in (apart, rows, near, lists, kinds):
             drop_cut(done)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
