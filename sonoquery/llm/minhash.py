@@ -51,8 +51,11 @@ from .words import by_slices, coded, grams, hash_strings, mix, starts, trim, wor
 
 K = 48
 MISS = 1e-8
-#: Lists of more members are taken apart by their differences from a center.
-SHORT = 64
+#: Lists of more members are taken apart by their differences from a center.  That costs about
+#: a set's size for a member, where pairs cost half the list's length.
+SHORT = 256
+#: How often bounds are made anew from the nodes that they have left.
+PASSES = 2
 #: Nodes of a list that one head is compared to.
 BLOCK = 256
 #: Tasks that the rows of one family are dealt to, at least.
@@ -189,11 +192,11 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
     1. Let o be the family's node with the least g.  Nodes with g(x) <= -g(o) are similar
        to o, whatever c is.  So are nodes to the list's least one where D's are
        listed by their members and the lists that both are in make up for enough of c.
-       Components that such pairs connect become one.
+       A component that such pairs connect to one with a lesser name counts as that one from here on.
     2. A pair needs c >= (g(x) + m(x)) / 2, where m(x) is the least g in other components
-       than x's among nodes whose D is large enough for x.  It is above 0 now.  Nodes
-       whose D has fewer members that other components share go, which is
-       repeated while it makes much of a difference.  Pairs of the others meet in
+       than x's among nodes whose D is large enough for x, and c >= 1, as other pairs
+       are connected by o.  Nodes whose D has fewer members that other components
+       share go; this is done ``PASSES`` times, with what the pass before has left.  Pairs of the others meet in
        inverted lists of the rarest |D| - bound + 1 members of each D.
     3. In lists of at most ``short`` nodes, pairs are made and c is counted within the
        join.  A longer list, whose nodes have a further passage in common, is
@@ -226,12 +229,12 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         alike = parts.join(_listed(parts), ["family", "e"]).where("component <> o.component").groupBy("family", "node", "component", "g", "o").agg(F.count("*").alias("c")).where(F.col("c") * (2 * p) >= F.col("g") + F.col("o.g"))
         sides = F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("o.node").alias("b"), F.col("o.component").alias("component_b")
         direct = _one_each(near.select(*sides).union(alike.select(*sides)))
-        joined = components(direct.union(last), "low", "high").select(F.col("node").alias("component"), F.col("component").alias("_new"))
+        joined = direct.union(last).groupBy(F.col("high").alias("component")).agg(F.min("low").alias("_new"))
         rows = cut(apart.join(_spread(joined), ["component", "salt"], "left").withColumn("component", F.coalesce("_new", "component")).drop("_new"))
 
         # 2. lists of the rarest members
-        near, left_over = rows, None
-        while True:
+        near = rows
+        for _ in range(PASSES):
             half = F.col("g") / (2 * p)
             near = near.withColumn("level", _level(F.size("d") - half))
             least = near.groupBy("family", "level", "component").agg(F.min("g").alias("g"))
@@ -240,15 +243,12 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
             limits = first.union(second).groupBy("family").agg(F.collect_list(F.struct("level", "o")).alias("limits"))
             fit = F.filter("limits", lambda x: (x["level"] >= _level(half)) & (x["o"]["component"] != F.col("component")))  # noqa: B023
             bound = F.ceil((F.col("g") + F.array_min(F.transform(fit, lambda x: x["o"]["g"]))) / (2 * p)).cast("int")
+            bound = F.when(F.size(fit) > 0, F.greatest(bound, F.lit(1)))
             near = near.drop("level").join(_spread(limits), ["family", "salt"]).withColumn("bound", bound).drop("limits").where("size(d) >= bound")
             parts = near.select("family", "node", "component", "g", F.explode("d").alias("e"))
             own = parts.join(_listed(parts), ["family", "e"]).groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
             near = near.drop("d").join(own, ["family", "node"]).where("size(own) >= bound")
-            near = cut(near.withColumn("d", F.transform("own", lambda x: x["e"])).select("family", "node", "salt", "component", "g", "bound", "d"))
-            before, left_over = left_over, near.count()
-            if not left_over or before is not None and left_over > 0.8 * before:
-                break
-            near = near.drop("bound")
+            near = cut(near.withColumn("d", F.transform("own", lambda x: x["e"])).select("family", "node", "salt", "component", "g", "d", "bound"))
         near = near.withColumnRenamed("d", "own")
         listed = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("bound") + 1))
         lists = cut(near.select("family", listed.alias("e"), "node", "salt", "component"))
