@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
@@ -43,6 +44,27 @@ RESULT = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
 MANY = 24
 
 
+# Letters and numbers of Unicode versions that the tokenizers library doesn't know yet, and takes for symbols.
+UNKNOWN = """
+558 58B-58C 88F C5C CDC 1C89 208F 209D-209F A7CB-A7CC A7CE-A7CF A7D2 A7D4 A7DA A7DC-A7DD A7E2 A7F1 AB6C-AB6D
+107BB-107BF 10940-10959 10D50-10D65 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F
+12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191
+191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD
+"""
+#: Lower case of letters that an older Python doesn't know.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def classes(pattern: str) -> str:
+    """``pattern`` with the library's classes, whatever Unicode version the installed ``regex`` has."""
+    unknown = "".join("-".join(f"\\U{int(c, 16):08X}" for c in r.split("-")) for r in UNKNOWN.split())
+    for kind in "LN":
+        pattern = pattern.replace(rf"[\p{{{kind}}}]", rf"\p{{{kind}}}").replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{unknown}]]")
+    return "(?V1)" + pattern.replace(r"\s", r"\p{White_Space}")
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -63,11 +85,13 @@ class Model:
     tokens: tuple[str, ...]
     pattern: str
     special: tuple[tuple[str, int], ...]
+    name: str  # digest of the file
 
     @classmethod
     def read(cls, path: str) -> Model:
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        with open(path, "rb") as file:
+            data = file.read()
+        spec = json.loads(data)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = max([*vocab.values(), *special.values()]) + 1
@@ -80,9 +104,9 @@ class Model:
         if len(set(merged.tolist())) != len(merged):
             raise ValueError("a symbol is the result of two merges")
         order = np.argsort(pairs)
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         symbols = byte_symbols()
-        return cls(np.array([vocab[c] for c in symbols]), np.array([vocab[c + suffix] for c in symbols]), pairs[order], order, merged, size, tuple(tokens), pattern, tuple(special.items()))
+        return cls(np.array([vocab[c] for c in symbols]), np.array([vocab[c + suffix] for c in symbols]), pairs[order], order, merged, size, tuple(tokens), classes(pattern), tuple(special.items()), xxhash.xxh3_128_hexdigest(data))
 
 
 class Encoder:
@@ -103,7 +127,7 @@ class Encoder:
     def normal(self, word: str) -> str:
         if word.isascii():
             return word.lower()
-        return "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+        return "".join(c.lower() for c in unicodedata.normalize("NFC", word).translate(LOWER))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of ids of each word."""
@@ -216,15 +240,15 @@ class Encoder:
         return pa.StructArray.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary()), decoded], fields=list(RESULT))
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(model: Model) -> Encoder:
     """The worker's encoder for a model (one at a time is kept)."""
-    if id(model) not in _encoders:
+    if model.name not in _encoders:
         _encoders.clear()
-        _encoders[id(model)] = Encoder(model)
-    return _encoders[id(model)]
+        _encoders[model.name] = Encoder(model)
+    return _encoders[model.name]
 
 
 def round_trip(docs: DataFrame, model: Model, text: str = "text", out: str = "bpe", keep: list[str] | None = None) -> DataFrame:

@@ -74,3 +74,12 @@ def test_query(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_every_code_point(encoder, library):
+    """Classes and case of all code points are those of the library, whatever ``regex`` and Python know."""
+    codes = [c for c in (*range(0x32000), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    texts = ["".join("a{0}b {0}1 A{0} {0}{0} !{0} ".format(chr(c)) for c in codes[i : i + 40]) for i in range(0, len(codes), 40)]
+    library.no_truncation()
+    for text, got, want in zip(texts, encoder.texts(pa.array(texts)).field("ids").to_pylist(), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
