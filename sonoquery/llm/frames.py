@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,7 +25,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session was told to send Arrow batches of at most ``BATCH_BYTES``.
 
     The default, 64 MB for each task on both sides, is more than executors of a few GB can
-    spare.  A setting of the user's stays.
+    spare.  The setting is the session's, so later queries of the session have it too.  A setting of
+    the user's stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not df.sparkSession.conf.get(key, None):
@@ -32,17 +34,36 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def plain(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns ``c0``, ``c1`` ... and the new names of the ``wanted`` ones.
+
+    Operators work on that and name columns of their own with a leading underscore, so that no name of the
+    input clashes with them; :func:`restored` puts the names back.
+    """
+    have = [c.lower() for c in df.columns]
+    return df.toDF(*(f"c{i}" for i in range(len(have)))), [f"c{df.columns.index(c) if c in df.columns else have.index(c.lower())}" for c in wanted]
+
+
+def restored(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """The columns of :func:`plain` under their ``names``, and ``more``."""
+    return df.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *more)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local one does if the executors are threads of the driver; it is an error otherwise.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "/tmp/sonoquery-checkpoints"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/sonoquery-checkpoints"
     return found.rstrip("/")
 
 

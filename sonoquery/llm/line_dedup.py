@@ -25,7 +25,9 @@ are shuffled by row to meet their repeated chunks.
 Defined results: a null text stays null and has 0 lines; an empty one stays
 empty.  A document that loses all its chunks has an empty text.  Rows with the same id and
 text count as one document and get the same result; null ids come before others.
-An empty table gives an empty result.
+An empty table gives an empty result.  Texts are taken whole, one at a time in a
+Python worker beyond a slice's size.  Columns of the input may have any name; the
+struct's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, free_name, named, small_batches
+from .frames import cut, free_name, plain, restored, small_batches
 from .words import by_slices, coded, grams, hash_strings, mix, slices, trim
 
 DIVISOR = 3
 MIN_LINES = 2
+#: Tasks that the rows of one hash are dealt to, at least.
+SALTS = 8
 
 
 def _parsed(texts: pa.Array) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
@@ -159,23 +163,24 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "
     With ``passages``, the struct also has ``unrepeated``, the text without repeated chunks
     and windows, and ``n_repeated``, the lines that this lacks.
     """
-    whole = named(docs, text).cast("string")
+    names = docs.columns
+    rows, (text, key) = plain(small_batches(docs), text, key)
+    whole = F.col(text).cast("string")
     hashes = F.arrow_udf(lambda texts: by_slices(texts, lambda part: _hashes(part, passages), pa.list_(pa.int64())), "array<bigint>")
-    taken = free_name(docs, "_a"), free_name(docs, "_b")
-    a, b = taken
-    rows = small_batches(docs).withColumns({a: F.xxhash64(named(docs, key), whole), b: F.hash(whole, named(docs, key))})
+    rows = rows.withColumns({"_a": F.xxhash64(F.col(key), whole), "_b": F.hash(whole, F.col(key))})
 
-    marks = cut(rows.select(a, b, F.posexplode(hashes(whole)).alias("n", "hash")).where("hash is not null"))
-    again = marks.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
-    repeated = marks.join(again, "hash", "left_semi").groupBy(a, b).agg(F.sort_array(F.collect_set("n")).alias("_repeated"))
-    met = rows.join(repeated.hint("shuffle_hash"), [a, b], "left")
+    marks = cut(rows.select("_a", "_b", F.posexplode(hashes(whole)).alias("_n", "_hash")).where("_hash is not null"))
+    # the rows of a frequent hash are dealt to several tasks
+    again = marks.groupBy("_hash").agg(F.count("*").alias("_times")).where("_times > 1").select("_hash", F.explode(F.lit(list(range(SALTS)))).alias("_salt"))
+    marks = marks.withColumn("_salt", F.pmod(F.col("_b") + F.col("_n"), F.lit(SALTS)))
+    repeated = marks.join(again, ["_hash", "_salt"], "left_semi").groupBy("_a", "_b").agg(F.sort_array(F.collect_set("_n")).alias("_repeated"))
+    met = rows.join(repeated.hint("shuffle_hash"), ["_a", "_b"], "left")
 
     read = F.arrow_udf(lambda texts, numbers: _bytes(texts, numbers, passages), "array<struct<n:int,window:boolean,chunk:string>>")
-    found = met.where("_repeated is not null").select(a, b, named(docs, key).alias("_key"), F.explode(read(whole, "_repeated")).alias("_x"))
-    first = found.groupBy(F.col("_x.window").alias("window"), F.col("_x.chunk").alias("chunk")).agg(F.min(F.struct("_key", a, b, "_x.n")).alias("_first"))
-    firsts = first.groupBy(F.col(f"_first.{a}").alias(a), F.col(f"_first.{b}").alias(b)).agg(F.collect_set("_first.n").alias("_firsts"))
-    done = met.join(firsts.hint("shuffle_hash"), [a, b], "left")
+    found = met.where("_repeated is not null").select("_a", "_b", F.col(key).alias("_key"), F.explode(read(whole, "_repeated")).alias("_x"))
+    first = found.groupBy(F.col("_x.window").alias("_window"), F.col("_x.chunk").alias("_chunk")).agg(F.min(F.struct("_key", "_a", "_b", "_x.n")).alias("_first"))
+    firsts = first.groupBy(F.col("_first._a").alias("_a"), F.col("_first._b").alias("_b")).agg(F.collect_set("_first.n").alias("_firsts"))
+    done = met.join(firsts.hint("shuffle_hash"), ["_a", "_b"], "left")
     more = ",unrepeated:string,n_repeated:bigint" if passages else ""
     write = F.arrow_udf(lambda texts, again, first: _without(texts, again, first, passages), f"struct<text:string,n_lines:bigint,n_removed:bigint{more}>")
-    at = free_name(docs, out)
-    return done.select(*[named(docs, c) for c in docs.columns], write(whole, "_repeated", "_firsts").alias(at))
+    return restored(done, names, write(whole, "_repeated", "_firsts").alias(free_name(names, out)))

@@ -22,7 +22,8 @@ Defined results: a null text has size 0, as an empty one; documents of size 0
 take nothing and have no position.  A null source is a source of its own.
 Repeated rows are separate documents (equal ones share the source's takings in
 any order).  A source without words has target 0.  An empty table gives an empty
-result.
+result.  Texts of any length are only counted, in the JVM.  Columns of the input may
+have any name; the position's gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut, free_name, named
+from .frames import cut, free_name, named, plain, restored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -91,9 +92,9 @@ def place(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     ``copies`` is an array of (copy, words, position), in ascending order.  The
     last pass over a source ends within a document; that one is taken in part,
     or, with ``whole``, taken if at least half of it falls in.  With ``row``, a
-    column of that name has the whole row of ``docs`` as a struct.
+    column of that name has the whole row of ``docs`` as a struct (c0, c1 ...).
     """
-    wide = docs.select(named(docs, key).alias("_key"), named(docs, source).alias("source"), words(named(docs, text)).alias("size"), F.struct(*(named(docs, c) for c in docs.columns)).alias("_row"))
+    wide = docs.select(named(docs, key).alias("_key"), named(docs, source).alias("source"), words(named(docs, text)).alias("size"), F.struct(*(named(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("_row"))
     wide = wide.withColumn("_order", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit(""))))
     sized = cut(wide.drop("_row"))
     bits = max(0, min(28, math.ceil(math.log2(max(1, sized.count()) / BUCKET_ROWS))))
@@ -107,7 +108,7 @@ def place(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     rows = (wide if row else sized).alias("d").join(known.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d._bucket") == F.col("k._bucket")))
     rows = rows.select("_key", "d.source", "size", "_order", "d._bucket", "_before", "source_size", "turn", "target", *(["_row"] if row else []))
     # rows of one id and size go by their text
-    ties = [F.xxhash64(F.col("_row")[text])] if row else []
+    ties = [F.xxhash64(F.col("_row")[plain(docs, text)[1][0]])] if row else []
     inside = Window.partitionBy("source", "_bucket").orderBy("_order", "_key", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -137,9 +138,8 @@ def training_order(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     The rows go along with their places and are joined to nothing by id, so that rows
     with the same id, or none, meet their own copies only.
     """
-    placed = place(docs, key=key, whole=True, row="_row", **how)
-    at = free_name(docs, "position")
-    rows = placed.select("_row", F.explode("copies").alias("_copy"))
-    order = F.col("_copy")["position"], F.col("_row")[key]
+    names = docs.columns
+    rows = place(docs, key=key, whole=True, row="_row", **how).select("_row", F.explode("copies").alias("_copy"))
+    order = F.col("_copy")["position"], F.col("_row")[plain(docs, key)[1][0]]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("_copy")["copy"])
-    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns), order[0].alias(at))
+    return restored(rows.select("_row.*", order[0].alias("_position")), names, F.col("_position").alias(free_name(names, "position")))

@@ -15,6 +15,10 @@ the last.  :func:`parts` takes values apart.
 Defined results: null and empty texts, and texts of white space, have an empty
 fingerprint; a text of fewer than ``K`` tokens has one value for all of them.
 Two empty fingerprints are alike (1.0), an empty and another one are not (0.0).
+Rows of equal keys and texts follow each other in any order.  An empty table gives
+an empty result.  Texts are taken whole, and their positions must be below
+``2 ** POSITION_BITS`` tokens.  Columns of the input may have any name; names of
+results get underscores until they are free.
 """
 
 from __future__ import annotations
@@ -24,14 +28,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import free_name, named
+from .frames import free_name, named, plain, restored
 
 K = 4
 W = 4
 PIECE = 24
 POSITION_BITS = 26
 BUCKET_ROWS = 2000
-MAX_BUCKETS = 10_000
+#: Quantiles that are taken of the keys; their bounds are a literal of the plan.
+GROUPS = 10_000
 
 _MASK = (1 << POSITION_BITS) - 1
 _HASHES = (1 << (63 - POSITION_BITS)) - 1
@@ -86,24 +91,34 @@ def with_bucket(df: DataFrame, key: str, out: str, rows: int = BUCKET_ROWS) -> D
 
     Bounds are quantiles of the keys, so ranges are about even whatever the keys
     are; null keys are in range 0.  They come as a literal of two levels, which
-    keeps the comparisons for a row to the square root of their number.
+    keeps the comparisons for a row to the square root of their number.  Beyond ``GROUPS``
+    bounds, the ranges between them are parted evenly, so that ranges don't grow with the input.
+    Rows of one key are in one range.
     """
     n = df.count()
-    wanted = min(MAX_BUCKETS, math.ceil(n / rows))
+    wanted = math.ceil(n / rows)
+    groups = min(GROUPS, wanted)
     bounds: list[int] = []
-    if wanted > 1:
-        shares = [i / wanted for i in range(1, wanted)]
-        found = df.select(F.percentile_approx(named(df, key), shares, 10 * wanted)).first()[0]
+    if groups > 1:
+        shares = [i / groups for i in range(1, groups)]
+        found = df.select(F.percentile_approx(named(df, key), shares, 10 * groups)).first()[0]
         bounds = sorted(set(found or []))
     if not bounds:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.lit(0).cast("long"))
     step = math.ceil(math.sqrt(len(bounds)))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.lit([g[0] for g in groups])
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     above = lambda array: F.size(F.filter(array, lambda b: b <= named(df, key)))
-    group = above(heads)
-    inner = F.get(F.lit([bounds[:0] + g for g in groups]), group - 1)
-    return df.withColumn(out, F.when(group > 0, (group - 1) * step + above(inner)).otherwise(F.lit(0)))
+    block = above(F.lit([g[0] for g in blocks]))
+    inner = F.get(F.lit([bounds[:0] + g for g in blocks]), block - 1)
+    df = df.withColumn(out, F.when(block > 0, (block - 1) * step + above(inner)).otherwise(F.lit(0)).cast("long"))
+    parts = math.ceil(wanted / GROUPS)
+    if parts < 2:
+        return df
+    # beyond GROUPS quantiles, each of their ranges is parted evenly by key
+    whole = F.lit(bounds)
+    low, high = F.get(whole, F.col(out).cast("int") - 1), F.get(whole, F.col(out).cast("int"))
+    place = F.floor((named(df, key) - low) * parts / (high - low)).cast("long")
+    return df.withColumn(out, F.col(out) * parts + F.coalesce(F.greatest(F.lit(0), F.least(place, F.lit(parts - 1))), F.lit(0)))
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "fingerprint", following: str = "following") -> DataFrame:
@@ -113,21 +128,24 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str
     that.  The first row of each range is handed to the range before it.  Rows
     of one key follow each other in the order of their texts.
     """
-    rows = docs.select("*", named(docs, text).cast("string").alias("_text"))
+    names = docs.columns
+    rows, (text, key) = plain(docs, text, key)
+    rows = rows.withColumn("_text", F.col(text).cast("string"))
     rows = with_bucket(rows, key, "_bucket")
-    first = F.min(F.struct(named(docs, key).isNotNull().alias("a"), named(docs, key).alias("b"), F.coalesce("_text", F.lit("")).alias("text")))
+    first = F.min(F.struct(F.col(key).isNotNull().alias("a"), F.col(key).alias("b"), F.coalesce("_text", F.lit("")).alias("text")))
     firsts = rows.groupBy("_bucket").agg(first.alias("_first"))
     everyone = Window.orderBy("_bucket")
     after = F.coalesce(F.lead("_first").over(everyone), F.first("_first").over(everyone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = firsts.select("_bucket", after["text"].alias("_text"))
     firsts = with_fingerprint(firsts, F.col("_text"), "_print").select(F.col("_bucket"), F.struct("_text", "_print").alias("_after"))
 
-    rows = with_fingerprint(rows.repartition("_bucket"), F.col("_text"), out)
-    order = Window.partitionBy("_bucket").orderBy(named(docs, key).asc_nulls_first(), F.coalesce("_text", F.lit("")))
-    own = F.struct(F.coalesce("_text", F.lit("")).alias("_text"), F.col(out).alias("_print"))
+    rows = with_fingerprint(rows.repartition("_bucket"), F.col("_text"), "_own")
+    order = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), F.coalesce("_text", F.lit("")))
+    own = F.struct(F.coalesce("_text", F.lit("")).alias("_text"), F.col("_own").alias("_print"))
     rows = rows.withColumn("_lead", F.lead(own).over(order)).join(firsts, "_bucket", "left")
     follower = F.coalesce("_lead", "_after")
-    return rows.withColumn(following, F.struct(follower["_text"].alias("text"), follower["_print"].alias("fingerprint"))).drop("_text", "_bucket", "_lead", "_after")
+    out = free_name(names, out)
+    return restored(rows, names, F.col("_own").alias(out), F.struct(follower["_text"].alias("text"), follower["_print"].alias("fingerprint")).alias(free_name([*names, out], following)))
 
 
 def edited(text: Column, following: Column) -> Column:
