@@ -6,7 +6,8 @@ votes for a diagonal (its position in the text minus that in the template).
 Votes are added up for each text, template and diagonal; diagonals at most
 ``NEAR`` apart are merged, which bridges inserted and missing words; what has
 votes enough is verified on the words: the longest common subsequence of the
-span and the template must cover ``COVER`` of the template.
+span and the template must cover ``COVER`` of the template, and as large a part of the
+words between the first hit and the last, so words that are strewn over a text are no match.
 
 The templates are constants of the operator, so their table (about a thousand
 rows) is broadcast.  Rows are told apart by their key and a hash of the text.
@@ -15,7 +16,10 @@ whose build side is the spans.
 
 Defined results: a null text counts as empty: no words, no places, no labels,
 score 0.  Rows that repeat (key and text) get the same result each.  An empty
-table gives an empty result.  Null keys are keys like others.
+table gives an empty result.  Null keys are keys like others.  Texts are taken whole,
+one at a time in a Python worker beyond a slice's size, and verified in time that grows
+with the span.  Columns of the input may have any name; the struct's name gets
+underscores until it is free.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import free_name, named, small_batches
+from .frames import free_name, plain, restored, small_batches
 from .license_texts import PHRASES, TEMPLATES
 from .words import by_slices, coded, grams, hash_strings, starts, words_of
 
@@ -108,15 +112,16 @@ def template_grams(templates: Sequence[tuple[str, str]], k: int = K) -> list[tup
 
 
 def common(a: Sequence[str], b: Sequence[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left, diagonal = 0, 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            left = diagonal + 1 if x == y else max(up, left)
-            diagonal, row[j] = up, left
-    return row[-1]
+    """Length of the longest common subsequence, a word of ``a`` at a time in the bits of an integer for ``b``."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    free = full
+    for word in a:
+        if at := places.get(word, 0) & free:
+            free = (free + at | free - at) & full
+    return len(b) - free.bit_count()
 
 
 def _verified(text: str | None, spans: list[dict], templates: Sequence[tuple[str, str]], cover: float) -> list[dict]:
@@ -124,8 +129,9 @@ def _verified(text: str | None, spans: list[dict], templates: Sequence[tuple[str
     for s in spans:
         label, wanted = templates[s["template"]][0], words(templates[s["template"]][1])
         start, end = max(0, s["start"]), min(len(own), s["end"])
-        similarity = common(own[start:end], wanted) / len(wanted)
-        if similarity >= cover:
+        shared = common(own[start:end], wanted)
+        similarity = shared / len(wanted)
+        if similarity >= cover and shared >= cover * (s["until"] - s["since"]):
             out.append({"label": label, "start": start, "end": end, "similarity": similarity})
     return out
 
@@ -136,26 +142,28 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: Se
     ``spans`` holds the verified (label, start, end, similarity) in words;
     ``score`` is 1 where a phrase stands, else the best similarity of a span, else 0.
     """
-    spark = small_batches(docs).sparkSession
+    spark, names = small_batches(docs).sparkSession, docs.columns
+    docs, (text, key) = plain(docs, text, key)
     templates = list(templates)
 
     def work(k: int):
         return F.arrow_udf(lambda texts: by_slices(texts, lambda part: _scan(part, phrases, k), SCAN), SCAN_DDL)(as_text)
 
-    as_text = named(docs, text).cast("string")
-    ids = [F.xxhash64(named(docs, key), as_text).alias("_a"), F.hash(as_text, named(docs, key)).alias("_b")]
+    as_text = F.col(text).cast("string")
+    ids = [F.xxhash64(F.col(key), as_text).alias("_a"), F.hash(as_text, F.col(key)).alias("_b")]
 
     size = {t: max(1, len(words(x)) - k + 1) for t, (_, x) in enumerate(templates)}
     known = spark.createDataFrame(template_grams(templates, k), "gram bigint, template int, at int")
     long = spark.createDataFrame([(t, size[t], len(words(x))) for t, (_, x) in enumerate(templates)], "template int, size int, length int")
     hits = docs.select(*ids, F.posexplode(work(k)["grams"]).alias("pos", "gram")).join(F.broadcast(known), "gram")
-    votes = hits.groupBy("_a", "_b", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    ends = F.min("pos").alias("since"), (F.max("pos") + k).alias("until")
+    votes = hits.groupBy("_a", "_b", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), *ends)
     order = Window.partitionBy("_a", "_b", "template").orderBy("diagonal")
     votes = votes.withColumn("_new", (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(order) > NEAR).cast("int"))
     votes = votes.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = votes.groupBy("_a", "_b", "template", "_group").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
+    merged = votes.groupBy("_a", "_b", "template", "_group").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.min("since").alias("since"), F.max("until").alias("until"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
     merged = merged.join(F.broadcast(long), "template").where(F.col("votes") >= F.lit(VOTES) * F.col("size"))
-    span = F.struct("template", F.col("low").cast("long").alias("start"), (F.col("high") + F.col("length")).cast("long").alias("end"))
+    span = F.struct("template", F.col("low").cast("long").alias("start"), (F.col("high") + F.col("length")).cast("long").alias("end"), F.col("since").cast("long").alias("since"), F.col("until").cast("long").alias("until"))
     spans = merged.groupBy("_a", "_b").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
 
     def check(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -164,11 +172,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: Se
     asked = docs.select(*ids, as_text.alias("_text")).join(spans.hint("shuffle_hash"), ["_a", "_b"])
     verified = asked.select("_a", "_b", F.arrow_udf(check, SPANS_DDL)("_text", "_spans").alias("_found")).groupBy("_a", "_b").agg(F.first("_found").alias("_found"))
 
-    at, base = free_name(docs, out), free_name(docs, "_base")
-    result = docs.select("*", *ids, work(0).alias(base)).join(verified, ["_a", "_b"], "left")
+    result = docs.select("*", *ids, work(0).alias("_base")).join(verified, ["_a", "_b"], "left")
     found = F.coalesce("_found", F.expr(f"cast(array() as {SPANS_DDL})"))
-    b = lambda c: F.col(base)[c]
+    b = lambda c: F.col("_base")[c]
     labels = F.array_sort(F.array_distinct(F.concat(F.filter(F.split(b("base_labels"), ","), lambda x: x != ""), F.transform(found, lambda s: s["label"]))))
     score = F.when(b("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(found, lambda s: s["similarity"])), F.lit(0.0)))
     fields = [b(c).alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")]
-    return result.select(*[named(docs, c) for c in docs.columns], F.struct(*fields, F.array_join(labels, ",").alias("labels"), found.alias("spans"), F.least(score, F.lit(1.0)).alias("score")).alias(at))
+    return restored(result, names, F.struct(*fields, F.array_join(labels, ",").alias("labels"), found.alias("spans"), F.least(score, F.lit(1.0)).alias("score")).alias(free_name(names, out)))

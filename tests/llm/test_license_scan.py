@@ -84,3 +84,34 @@ def test_cases(spark):
         assert r.license in ("clash", "again", None)
     assert any("apache-2.0" in r["license_"].labels and r.doc_id == 9 for r in got)
     assert scan.scan(docs.where("false")).count() == 0
+
+
+def test_strewn_and_very_long_texts(spark):
+    """Words of a template with as many between them are no match; the template within a very long text is."""
+    template = [("t", " ".join(f"w{i}" for i in range(90)))]
+    own = scan.words(template[0][1])
+    strewn = " ".join(" ".join([*own[i : i + 3], f"z{i}"]) for i in range(85))
+    spread = " ".join(x for w in own for x in (w, "and", "so"))
+    long = "other words here " * 60_000 + template[0][1] + " tail of it" * 50_000
+    df = spark.createDataFrame([(1, strewn), (2, spread), (3, long), (4, template[0][1])], "doc_id long, text string")
+    got = {r.doc_id: (r.license.labels, r.license.score) for r in scan.scan(df, templates=template).collect()}
+    assert got == {1: ("", 0.0), 2: ("", 0.0), 3: ("t", 1.0), 4: ("t", 1.0)}
+
+
+def test_common_subsequence():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 80))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert scan.common(a, b) == row[-1]
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+    return out
