@@ -9,19 +9,25 @@ a key.  That is a permutation of the format: the result is a valid value of the
 same format, different values stay different, and equal values get the same
 pseudonym in every document.  With the key, :func:`reveal` undoes it.
 
-Formats: e-mail (the name before the @; letters and digits keep their class),
-phone (ten digits; the country code stays), IPv4, payment card (issuer digits
+Formats: e-mail (the name before the @, at most 64 characters and longer ones are none; letters
+and digits keep their class; at most 128 labels of 63 characters after it),
+phone (any ten digits; the country code stays), IPv4, payment card (issuer digits
 stay, the check digit is made anew), social security number, date (days of 1700
-to 2099; the way of writing stays, with two digits for day and month) and
+to 2099; the way of writing stays, with two digits for day and month; a day has the same
+pseudonym in every way of writing; with dots or slashes the day is read first, unless only the month can be) and
 hexadecimal secrets of 32 to 64 digits.  What isn't valid stays as it is.
 
 Defined results: a null text stays null with no finds; an empty text stays
 empty.  Rows are independent, so ties and repeated rows get equal results; an
-empty table gives an empty result.
+empty table gives an empty result.  Texts are taken whole, in time that grows with
+their length.  Columns of the input may have any name; the struct's name gets
+underscores until it is free.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +43,8 @@ _FREE = r"(?<![0-9A-Za-z])(?<![0-9][.,])"
 _END = r"(?![0-9A-Za-z])"
 #: In the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    # with bounds, and tried at the first character of a run only: no text takes more than linear time
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){0,126}\.[A-Za-z]{2,63}",
     "secret": _FREE + r"[0-9a-fA-F]{32,64}" + _END,
     # signs of lists and tables may stand between the parts of a number with a bracketed area code
     "phone": r"(?<![0-9A-Za-z])(?:(?:\+[0-9]{1,3}[^0-9A-Za-z]{0,6})?\([0-9]{3}\)[^0-9A-Za-z]{0,6}|(?:\+[0-9]{1,3}[ .\-]?)?[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}" + _END,
@@ -202,12 +209,14 @@ def _date(m: Column, key: Column, back: bool) -> Column:
     def step(x: Column) -> Column:
         return feistel(x, F.lit(773), F.lit(DAYS // 773), key, F.lit("date"), back)
 
-    def late(x: Column) -> Column:  # can only be read with the month first
+    def late(x: Column) -> Column:  # can be read in one way only, whichever of day and month is first
         return F.dayofmonth(F.date_from_unix_date((x + FIRST_DAY).cast("int"))) > 12
 
-    # with the month first, the permutation is followed until the result can be read in no other way
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), day.cast("long"), lambda x, i: F.when((i > 1) & late(x), x).otherwise(step(x)))
-    y = F.when(month_first, walked).otherwise(step(day))
+    # the permutation is followed until the result is of the same kind: one pseudonym for a day, however it is written
+    def walked(day: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(64)), day, lambda x, i: F.when((i > 1) & (late(x) == late(day)), x).otherwise(step(x)))
+
+    y = F.get(F.transform(F.array(day.cast("long")), walked), F.lit(0))
 
     def written(y: Column) -> Column:
         d = F.date_from_unix_date((y + FIRST_DAY).cast("int"))
@@ -241,6 +250,11 @@ def replacement(m: Column, key: Column, back: bool = False) -> Column:
     return chain
 
 
+def _schedule(key: str) -> str:
+    """What the rounds use of a key: a digest, so that the key itself is in no plan or log."""
+    return hashlib.sha256(b"feistel key|" + key.encode()).hexdigest()
+
+
 def pseudonyms(docs: DataFrame, key: str, text: str = "text", out: str = "pii", back: bool = False) -> DataFrame:
     """``docs`` with a struct ``out``: ``text`` with pseudonyms, ``finds`` (kind and original of each, in order) and their number ``n``."""
     at, found, whole = free_name(docs, out), free_name(docs, "_matches"), named(docs, text).cast("string")
@@ -248,7 +262,7 @@ def pseudonyms(docs: DataFrame, key: str, text: str = "text", out: str = "pii",
     # texts without a digit or an @ have nothing that the patterns could match
     likely = whole.rlike("[0-9@]|[a-fA-F]{32}")
     step = F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))
-    made = F.transform(step, lambda m: F.struct(m.alias("was"), replacement(m, F.lit(key), back).alias("r")))
+    made = F.transform(step, lambda m: F.struct(m.alias("was"), replacement(m, F.lit(_schedule(key)), back).alias("r")))
     made = F.transform(made, lambda x: F.struct(x["was"].alias("was"), x["r"]["kind"].alias("kind"), x["r"]["new"].alias("new")))
     rows = docs.withColumn(found, F.when(likely, made).otherwise(none))
     between = F.split(whole, ANY, -1)
