@@ -37,20 +37,20 @@ WITH bodies AS (
            CASE WHEN page_id % 97 = 5 THEN '#' || substring(html, 2) WHEN page_id % 101 = 7 THEN substring(html, 1, length(html) - 10) ELSE html END AS other
     FROM pages),
 texts AS (
-    SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'none') || '>' || chr(13) || chr(10)
            || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
            chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, coalesce(other, '') AS other
     FROM bodies),
 records AS (
     SELECT page_id, head || strlen(html) || gap || html || gap AS a, head || strlen(other) || gap || other || gap AS b FROM texts),
 manifest AS (
-    SELECT page_id, page_id // 512 AS file, sha256(a) AS digest_a, sha256(b) AS digest_b, strlen(a) AS length FROM records),
+    SELECT page_id, coalesce(floor(page_id / 512.0)::BIGINT, -1 - ('0x' || substr(sha256(a), 1, 3))::BIGINT) AS file, sha256(a) AS digest_a, sha256(b) AS digest_b, strlen(a) AS length FROM records),
 placed AS (
     SELECT *, row_number() OVER w - 1 AS number, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
-    FROM manifest WINDOW w AS (PARTITION BY file ORDER BY page_id, digest_a))
+    FROM manifest WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest_a))
 SELECT file::BIGINT AS file, number::BIGINT AS number, "offset"::BIGINT AS "offset", length::BIGINT AS length, page_id AS page,
        CASE WHEN page_id % 103 = 11 THEN 'missing' ELSE 'changed' END AS status, digest_a,
-       CASE WHEN page_id % 103 <> 11 THEN digest_b END AS digest_b
+       CASE WHEN page_id % 103 = 11 THEN NULL ELSE digest_b END AS digest_b
 FROM placed WHERE page_id % 103 = 11 OR digest_a <> digest_b
 """
 

@@ -14,14 +14,18 @@ swap places are found.  Every group that is hashed has at most ``FANOUT``
 members.  Trees are tables (level, file, node, digest); the records themselves
 aren't shuffled, only their hashes.
 
-Defined results: a null url or body counts as empty; a null page id is in file
--1; repeated rows are records of their own, one after the other.  Equal replicas give
-no row, an empty table neither; of an empty and another replica, all records
+Defined results: a null url or body counts as empty; records with a null page id are in
+files -1 to -4096, by digest; repeated rows are records of their own, one after the
+other.  Bodies of any length are hashed whole.  Only the named columns are read, so
+others may have any name.  Equal replicas give no row, an empty table neither; of an empty and another replica, all records
 are missing or extra.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import cut
+from .words import SLICE_BYTES
 
 FANOUT = 16
 FILE_IDS = 512
@@ -50,6 +55,12 @@ def record(page: Column, url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+def _file(page: str, text: Column) -> Column:
+    """Number of the file: ``FILE_IDS`` ids each; without an id, one of 4096 negative ones by the record's digest."""
+    none = -1 - F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 3), 16, 10).cast("long")
+    return F.coalesce(F.floor(F.col(page) / FILE_IDS).cast("long"), none)
+
+
 def layout(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html", other: Column | None = None) -> DataFrame:
     """Manifest of the records in files of ``FILE_IDS`` ids: ``file``, ``number``, ``offset``, ``length``, ``page``, ``digest``.
 
@@ -57,7 +68,7 @@ def layout(pages: DataFrame, page: str = "page_id", url: str = "url", body: str
     """
     text = record(F.col(page), F.col(url), F.col(body))
     more = [] if other is None else [F.sha2(record(F.col(page), F.col(url), other).cast("binary"), 256).alias("other")]
-    rows = pages.select(F.coalesce(F.floor(F.col(page) / FILE_IDS), F.lit(-1)).cast("long").alias("file"), F.col(page).alias("page"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"), *more)
+    rows = pages.select(_file(page, text).alias("file"), F.col(page).alias("page"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"), *more)
     order = Window.partitionBy("file").orderBy("page", "digest")
     return rows.select(
         "file",
@@ -135,36 +146,112 @@ def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
 def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", body: str = "html") -> None:
     """Write the records as WARC files, a folder ``file=N`` for each, in the order of the manifest."""
     text = record(F.col(page), F.col(url), F.col(body))
-    rows = pages.select(F.coalesce(F.floor(F.col(page) / FILE_IDS), F.lit(-1)).cast("long").alias("file"), F.col(page).alias("_page"), text.alias("value"))
+    rows = pages.select(_file(page, text).alias("file"), F.col(page).alias("_page"), text.alias("value"))
     rows = rows.repartition("file").sortWithinPartitions("file", "_page", F.sha2(F.col("value").cast("binary"), 256))
     # a record ends in a line feed, which the writer puts behind each row
     rows.select("file", F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.option("lineSep", "\n").partitionBy("file").text(path)
 
 
-PARSED_DDL = "array<struct<offset:bigint,length:bigint,page:string,url:string,body:binary>>"
-_PARSED = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("page", pa.string()), ("url", pa.string()), ("body", pa.binary())]))
-
-
-def parsed(data: bytes) -> Iterator[dict]:
-    """Records of an uncompressed WARC file; ends at the first place where none begins."""
+READ = [("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("page", pa.string()), ("url", pa.string()), ("body", pa.binary()), ("digest", pa.string()), ("damaged", pa.bool_())]
+READ_DDL = "path string, offset bigint, length bigint, type string, page string, url string, body binary, digest string, damaged boolean"
+_SIZE = re.compile(rb"(?im)^Content-Length:[ \t]*([0-9]{1,15})[ \t]*\r?$")
+_PAGE = re.compile(r"^<urn:page:(.*)>$")
+_NEXT = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
+
+
+def _head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
+    """Fields of the record at a place, where its body begins and where the record ends; None if none is whole there."""
+    end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
+    size = _SIZE.search(data, at, end) if end >= 0 else None
+    if size is None:
+        return None
+    stop = end + 4 + int(size[1]) + 4
+    if stop > len(data) or data[stop - 4 : stop] != b"\r\n\r\n":
+        return None
+    first, *lines = data[at:end].split(b"\r\n")
+    if not _NEXT.fullmatch(first + b"\r\n") or not all(b":" in x or x[:1] in b" \t" for x in lines):
+        return None
+    fields = (x.split(b":", 1) for x in lines if b":" in x)
+    return {k.strip().lower(): v.strip() for k, v in fields}, end + 4, stop
+
+
+def parsed(data: bytes, base: int = 0) -> Iterator[dict]:
+    """Records of an uncompressed WARC file, in order.
+
+    What isn't a whole record (bytes that don't begin one, a head without a length, a body
+    that doesn't end where it should) is a range with ``damaged`` set, up to the next place that
+    begins a record; all records behind it are found.  ``digest`` is of all bytes of
+    the record or range.
+    """
     at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:] if b": " in x)
-        size = int(head.get(b"Content-Length", b"0"))
-        stop = min(end + 4 + size + 4, len(data))
-        yield {"offset": at, "length": stop - at, "page": head.get(b"WARC-Record-ID", b"").decode().removeprefix("<urn:page:").removesuffix(">"), "url": head.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), "body": data[end + 4 : end + 4 + size]}
+    while at < len(data):
+        head = _head(data, at)
+        if head is None:
+            found = _NEXT.search(data, at + 1)
+            stop = found.start() if found else len(data)
+            row = {"type": None, "page": None, "url": None, "body": None}
+        else:
+            fields, body, stop = head
+            text = lambda name: fields.get(name, b"").decode("utf-8", "replace")  # noqa: B023, E731
+            row = {"type": text(b"warc-type"), "page": _PAGE.sub(r"\1", text(b"warc-record-id")), "url": text(b"warc-target-uri"), "body": data[body : stop - 4]}
+        yield {"offset": base + at, "length": stop - at, **row, "digest": hashlib.sha256(memoryview(data)[at:stop]).hexdigest(), "damaged": head is None}
         at = stop
 
 
+def unzipped(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """Members of a gzip file; bytes that don't unpack come as they are, with True, up to the next member."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        unpack, parts, stop = zlib.decompressobj(31), [], at
+        try:
+            while not unpack.eof and stop < len(data):
+                parts.append(unpack.decompress(view[stop : stop + (1 << 16)]))
+                stop = min(len(data), stop + (1 << 16))
+        except zlib.error:
+            pass
+        if unpack.eof:
+            yield b"".join(parts), False
+            at = stop - len(unpack.unused_data)
+        else:
+            found = data.find(b"\x1f\x8b\x08", at + 1)
+            stop = found if found >= 0 else len(data)
+            yield data[at:stop], True
+            at = stop
+
+
+def _records(data: bytes) -> Iterator[dict]:
+    if not data.startswith(b"\x1f\x8b"):
+        yield from parsed(data)
+        return
+    base = 0
+    for text, damaged in unzipped(data):
+        if damaged:
+            yield {"offset": base, "length": len(text), "type": None, "page": None, "url": None, "body": None, "digest": hashlib.sha256(text).hexdigest(), "damaged": True}
+        else:
+            yield from parsed(text, base)
+        base += len(text)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), *READ])
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, size = [], 0
+            for record in _records(content.as_py()):
+                rows.append({"path": path, **record})
+                size += record["length"]
+                if size > SLICE_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files below ``path``: ``path``, ``offset``, ``length``, ``page``, ``url``, ``body`` and the record's ``digest``.
+    """Records of the WARC files below ``path`` (``.warc``, ``.warc.gz`` and what :func:`write` makes).
 
-    A file is read by one task, at most 2 GB.
+    Columns: ``path``, ``offset``, ``length``, ``type``, ``page``, ``url``, ``body``, the record's ``digest`` and ``damaged``
+    (:func:`parsed`).  Places in a ``.gz`` file are those of the unpacked members, a damaged
+    one counting as it is.  A file is read by one task, at most 2 GB; records leave it slice by slice.
     """
-    parse = F.arrow_udf(lambda files: pa.array([list(parsed(x)) for x in files.to_pylist()], _PARSED), PARSED_DDL)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    rows = files.select("path", "content", F.explode(parse("content")).alias("r"))
-    return rows.select("path", "r.*", F.sha2(F.substring("content", F.col("r.offset").cast("int") + 1, F.col("r.length").cast("int")), 256).alias("digest"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,warc,gz}").load(path)
+    return files.select("path", "content").mapInArrow(_read, READ_DDL)

@@ -1,9 +1,12 @@
 """WARC round trip and fixity audits."""
 
+import gzip
+
+import duckdb
 from pyspark.sql import functions as F
 
 from sonoquery.llm import warc
-from sonoquery.llm.queries import op3_warc_fixity
+from sonoquery.llm.queries import OP3_SQL, op3_warc_fixity
 
 
 def pages(spark, n=700):
@@ -54,3 +57,46 @@ def test_query_on_null_and_repeated_ids(spark, tmp_path):
             wanted.append((r.page_id, "missing" if r.page_id % 103 == 11 else "changed"))
     got = [(r.page, r.status) for r in op3_warc_fixity(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(wanted) and got.count((102, "changed")) == 3
+    for table in (source, source.where("false")):
+        table.write.mode("overwrite").parquet(str(tmp_path / "pages.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        rows = op3_warc_fixity(spark, str(tmp_path))
+        sql = con.execute(OP3_SQL)
+        names = [d[0] for d in sql.description]
+        assert sorted(map(str, sql.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in rows.collect())
+
+
+def raw(i, body, size=None):
+    size = len(body) if size is None else size
+    return f"WARC/1.1\r\nWARC-Type: {'response' if i % 2 else 'warcinfo'}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\ncontent-length: {size}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_damaged_files():
+    """Whatever happens to one record, all others are found at their places, and every byte is in a record or a damaged range."""
+    records = [raw(i, b"body %d\r\nWARC/ is not a head\r\n" % i * 3) for i in range(5)]
+    whole = b"".join(records)
+    assert [(r["page"], r["damaged"]) for r in warc.parsed(whole)] == [(f"<urn:uuid:{i}>", False) for i in range(5)]
+    damage = [b"?" + records[2], records[2][:40], records[2][1:], raw(2, b"x", "many"), raw(2, b"x", 10**9), raw(2, b"xyz" * 20, 7), records[2] + b"\r\n\0junk\n", b"\0" * 99]
+    for bad in damage:
+        data = b"".join([*records[:2], bad, *records[3:]])
+        rows = list(warc.parsed(data))
+        assert sum(r["length"] for r in rows) == len(data) and any(r["damaged"] for r in rows)
+        assert {f"<urn:uuid:{i}>" for i in (0, 1, 3, 4)} <= {r["page"] for r in rows if not r["damaged"]}
+        assert [r["offset"] for r in rows] == [sum(r["length"] for r in rows[:i]) for i in range(len(rows))]
+    assert list(warc.parsed(b"")) == [] and [r["damaged"] for r in warc.parsed(whole[:-3])][-1]
+    assert [r["damaged"] for r in warc.parsed(b"no record")] == [True]
+
+
+def test_read_plain_and_gzip(spark, tmp_path):
+    records = [raw(i, b"body %d" % i * 20000) for i in range(60)]
+    members = [gzip.compress(r) for r in records]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members))
+    broken = members[7][:30] + b"\xff" * 10 + members[7][40:]
+    (tmp_path / "c.warc.gz").write_bytes(b"".join([*members[:7], broken, *members[8:]]))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    of = {n: [r for r in rows if r.path.endswith(n)] for n in ("a.warc", "b.warc.gz", "c.warc.gz")}
+    assert [(r.offset, r.digest, r.type) for r in of["a.warc"]] == [(r.offset, r.digest, r.type) for r in of["b.warc.gz"]] and len(of["a.warc"]) == 60
+    assert {r.page for r in of["c.warc.gz"] if not r.damaged} == {f"<urn:uuid:{i}>" for i in range(60) if i != 7}
+    assert any(r.damaged for r in of["c.warc.gz"])
