@@ -54,6 +54,8 @@ MISS = 1e-8
 #: Lists of more members are taken apart by their differences from a center.  That costs about
 #: a set's size for a member, where pairs cost half the list's length.
 SHORT = 256
+#: About as many nodes of a family tell its center; the result doesn't depend on it.
+CENTER = 128
 #: How often bounds are made anew from the nodes that they have left.
 PASSES = 2
 #: Nodes of a list that one head is compared to.
@@ -182,7 +184,7 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
 
     ``families`` has ``family`` (an integer), ``node`` and ``component``; ``full`` the
     packed sets by node.  A family's center C has the members that more than half of
-    its sets have.  With D(x) for what x and C don't have in common, x and y differ in
+    its sets have, as far as ``CENTER`` of them can tell.  With D(x) for what x and C don't have in common, x and y differ in
     |D(x)| + |D(y)| - 2 c places, where c counts what D(x) and D(y) share.  Similar sets
     differ in at most r (|x| + |y|), r = (100 - percent) / (100 + percent), so with
     g(x) = |D(x)| - r |x| they are similar if and only if
@@ -201,8 +203,8 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
     3. In lists of at most ``short`` nodes, pairs are made and c is counted within the
        join.  A longer list, whose nodes have a further passage in common, is
        a family of its own in the next round, with a center of its own; lists of the same
-       nodes become one.  A member of a D is missing from at least half of the
-       family's, so families halve with each round.
+       nodes become one.  A member of a D is missing from about half of the
+       family's, or more, so families halve with each round.
 
     Independent changes are in one D only, and what most of the family has is in the
     center, so a large group of copies with changes of their own gives no pairs,
@@ -213,11 +215,14 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
     found = families.select(F.col("component").alias("low"), F.col("component").alias("high"), F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     last = found
     while families.take(1):
-        rows = families.join(full, "node")
+        # any center is right; that of some hundred nodes is about that of all, so lists still halve
         members = families.groupBy("family").agg(F.count("*").alias("members"))
-        # what half of more than ``short`` nodes have; any center is right for fewer
-        times = rows.select("family", F.explode(unpacked("set")).alias("e")).groupBy("family", "e").agg(F.count("*").alias("n")).where(F.col("n") > short // 2)
-        centers = times.join(members, "family").where("2 * n > members").groupBy("family").agg(F.collect_list("e").alias("center"))
+        some = families.withColumn("salt", _salt()).join(_spread(members), ["family", "salt"])
+        some = some.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CENTER)) == 0).select("family", "node")
+        asked = some.groupBy("family").agg(F.count("*").alias("asked"))
+        times = some.join(full, "node").select("family", F.explode(unpacked("set")).alias("e")).groupBy("family", "e").agg(F.count("*").alias("n"))
+        centers = times.join(asked, "family").where("2 * n > asked").groupBy("family").agg(F.collect_list("e").alias("center"))
+        rows = families.join(full, "node")
         rows = rows.withColumn("salt", _salt()).join(_spread(centers), ["family", "salt"], "left")
         rows = rows.select("family", "node", "salt", "component", (F.octet_length("set") / 8).cast("long").alias("n"), difference("center", "set").alias("d"))
         apart = cut(rows.withColumn("g", F.size("d") * p - F.col("n") * q).drop("n"))
