@@ -192,13 +192,13 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         2 c >= g(x) + g(y).
 
     1. Let o be the family's node with the least g.  Nodes with g(x) <= -g(o) are similar
-       to o, whatever c is.  So are nodes to the list's least one where D's are
-       listed by their members and the lists that both are in make up for enough of c.
-       A component that such pairs connect to one with a lesser name counts as that one from here on.
-    2. A pair needs c >= (g(x) + m(x)) / 2, where m(x) is the least g in other components
-       than x's among nodes whose D is large enough for x, and c >= 1, as other pairs
-       are connected by o.  Nodes whose D has fewer members that other components
-       share go; this is done ``PASSES`` times, with what the pass before has left.  Pairs of the others meet in
+       to o, whatever c is.
+    2. Another pair needs c >= (g(x) + m(x)) / 2 and c >= 1, where m(x) is the least g in other
+       components than x's among nodes whose D is large enough for x.  Nodes whose
+       D has fewer members that other components share go; this is done ``PASSES``
+       times, with what the pass before has left.  Where D's are listed by their members,
+       nodes are also similar to a list's least one if the lists that both are in
+       make up for enough of c.  Pairs of what is left meet in
        inverted lists of the rarest |D| - bound + 1 members of each D.
     3. In lists of at most ``short`` nodes, pairs are made and c is counted within the
        join.  A longer list, whose nodes have a further passage in common, is
@@ -206,6 +206,7 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
        nodes become one.  A member of a D is missing from about half of the
        family's, or more, so families halve with each round.
 
+    A component that a pair connects to one with a lesser name counts as that one from there on.
     Independent changes are in one D only, and what most of the family has is in the
     center, so a large group of copies with changes of their own gives no pairs,
     whatever passages they all have in common.  Between two components one pair is given.
@@ -227,19 +228,16 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         rows = rows.select("family", "node", "salt", "component", (F.octet_length("set") / 8).cast("long").alias("n"), difference("center", "set").alias("d"))
         apart = cut(rows.withColumn("g", F.size("d") * p - F.col("n") * q).drop("n"))
 
-        # 1. nodes that the least one of a family or list is surely similar to
+        # 1. nodes that the family's least one is surely similar to
         best = apart.groupBy("family").agg(F.min(F.struct("g", "node", "component")).alias("o"))
-        near = apart.drop("d").join(_spread(best), ["family", "salt"]).where("g + o.g <= 0 and component <> o.component")
-        parts = apart.select("family", "node", "component", "g", F.explode("d").alias("e"))
-        alike = parts.join(_listed(parts), ["family", "e"]).where("component <> o.component").groupBy("family", "node", "component", "g", "o").agg(F.count("*").alias("c")).where(F.col("c") * (2 * p) >= F.col("g") + F.col("o.g"))
+        rows = apart.join(_spread(best), ["family", "salt"])
         sides = F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("o.node").alias("b"), F.col("o.component").alias("component_b")
-        direct = _one_each(near.select(*sides).union(alike.select(*sides)))
-        joined = direct.union(last).groupBy(F.col("high").alias("component")).agg(F.min("low").alias("_new"))
-        rows = cut(apart.join(_spread(joined), ["component", "salt"], "left").withColumn("component", F.coalesce("_new", "component")).drop("_new"))
+        close = F.col("g") + F.col("o.g") <= 0
+        direct = rows.where(close & (F.col("component") != F.col("o.component"))).select(*sides)
+        near = rows.withColumn("component", F.when(close, F.col("o.component")).otherwise(F.col("component"))).drop("o")
 
-        # 2. lists of the rarest members
-        near = rows
-        for _ in range(PASSES):
+        # 2. nodes that can have a partner, and what they share
+        for i in range(PASSES):
             half = F.col("g") / (2 * p)
             near = near.withColumn("level", _level(F.size("d") - half))
             least = near.groupBy("family", "level", "component").agg(F.min("g").alias("g"))
@@ -250,10 +248,17 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
             bound = F.ceil((F.col("g") + F.array_min(F.transform(fit, lambda x: x["o"]["g"]))) / (2 * p)).cast("int")
             bound = F.when(F.size(fit) > 0, F.greatest(bound, F.lit(1)))
             near = near.drop("level").join(_spread(limits), ["family", "salt"]).withColumn("bound", bound).drop("limits").where("size(d) >= bound")
-            parts = near.select("family", "node", "component", "g", F.explode("d").alias("e"))
-            own = parts.join(_listed(parts), ["family", "e"]).groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
+            parts = cut(near.select("family", "node", "component", "g", F.explode("d").alias("e")))
+            met = parts.join(_listed(parts), ["family", "e"])
+            own = met.groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
             near = near.drop("d").join(own, ["family", "node"]).where("size(own) >= bound")
+            if i == 0:  # nodes that a list's least one is surely similar to
+                alike = met.where("component <> o.component").groupBy("family", "node", "component", "g", "o").agg(F.count("*").alias("c")).where(F.col("c") * (2 * p) >= F.col("g") + F.col("o.g"))
+                direct = _one_each(direct.union(alike.select(*sides)))
+                joined = direct.union(last).groupBy(F.col("high").alias("component")).agg(F.min("low").alias("_new"))
+                near = near.join(_spread(joined), ["component", "salt"], "left").withColumn("component", F.coalesce("_new", "component"))
             near = cut(near.withColumn("d", F.transform("own", lambda x: x["e"])).select("family", "node", "salt", "component", "g", "d", "bound"))
+            drop_cut(parts)
         near = near.withColumnRenamed("d", "own")
         listed = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("bound") + 1))
         lists = cut(near.select("family", listed.alias("e"), "node", "salt", "component"))
@@ -275,7 +280,7 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         found = found.union(direct).union(last)
         longer = lists.join(_spread(kinds.where(F.col("members") > short).select("family", "e")), ["family", "e", "salt"])
         families = cut(longer.select(F.xxhash64("family", "e").alias("family"), "node", "component"))
-        for done in (apart, rows, near, lists, kinds):
+        for done in (apart, near, lists, kinds):
             drop_cut(done)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
