@@ -4,8 +4,9 @@ Arrays are mono waveforms or impulse responses.  Rounding of sample counts is
 half to even (``bround``).  Undefined descriptors are NaN, inapplicable ones
 null, and conditions that are errors raise when the row is evaluated.
 
-Arguments are Columns; to keep Catalyst from evaluating a waveform twice, pass
-columns of a DataFrame (``withColumn`` first) rather than long expressions.
+Arguments are Columns.  What a function needs of a whole array within a lambda is bound
+to a variable first (:func:`bound`): Catalyst puts expressions of ``withColumn`` into the
+lambda, where they would be evaluated for each sample.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ def _column(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once for a row, not once for each sample."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -89,7 +95,7 @@ def rms(a: Column) -> Column:
 
 def normalized(a: Column, level: Column) -> Column:
     """``a`` over its ``level`` (:func:`rms`)."""
-    return F.transform(a, lambda x: x / (level + EPS))
+    return bound(level, lambda v: F.transform(a, lambda x: x / (v + EPS)))
 
 
 def frame_length(sr, frame_ms: float = 25.0) -> Column:
@@ -107,7 +113,7 @@ def frame_powers(a: Column, sr, frame_ms: float = 25.0) -> Column:
 def active_frames(powers: Column, threshold: float = 0.01) -> Column:
     """Frames whose power reaches a share of the largest one."""
     cutoff = (F.array_max(powers) + EPS) * threshold
-    return F.transform(powers, lambda p: p >= cutoff)
+    return bound(cutoff, lambda c: F.transform(powers, lambda p: p >= c))
 
 
 def mask(a: Column, active: Column, sr, frame_ms: float = 25.0) -> Column:

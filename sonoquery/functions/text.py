@@ -81,6 +81,7 @@ LETTERS = {"œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE",
 
 KEPT = ".%$¢€£"
 
+# Patterns that results depend on.
 #: Steps before symbols are stripped: (pattern, replacement), the same for Java, Python and RE2 on ASCII letters.
 BEFORE: tuple[tuple[str, str], ...] = (
     (r"[<\[][^>\]]*[>\]]", ""),

@@ -28,8 +28,8 @@ def punctuation_ids(vocabulary: DataFrame) -> DataFrame:
 def after_marker(ids: Column, labels: Column, marker: int) -> Column:
     """Labels with everything up to the last marker ignored; a row without it is an error."""
     place = F.array_position(F.reverse(ids), marker)
-    last = F.when(place == 0, F.raise_error(F.lit("a row has no marker"))).otherwise(F.size(ids) - place)
-    return F.transform(labels, lambda x, i: F.when(i <= last, IGNORED).otherwise(x))
+    upto = F.when(place == 0, F.raise_error(F.lit("a row has no marker"))).otherwise(F.size(ids) - place + 1).cast("int")
+    return F.concat(F.array_repeat(F.lit(IGNORED), F.least(upto, F.size(labels))), F.slice(labels, upto + 1, F.size(labels)))
 
 
 def without(labels: Column, ignored: Column) -> Column:
