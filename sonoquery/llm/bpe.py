@@ -106,7 +106,7 @@ class Model:
         order = np.argsort(pairs)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         symbols = byte_symbols()
-        return cls(np.array([vocab[c] for c in symbols]), np.array([vocab[c + suffix] for c in symbols]), pairs[order], order, merged, size, tuple(tokens), classes(pattern), tuple(special.items()), xxhash.xxh3_128_hexdigest(data))
+        return cls(np.array([vocab[c] for c in symbols]), np.array([vocab[c + suffix] for c in symbols]), pairs[order], order, merged, size, tuple(tokens), pattern, tuple(special.items()), xxhash.xxh3_128_hexdigest(data))
 
 
 class Encoder:
@@ -114,7 +114,8 @@ class Encoder:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.pieces = regex.compile(model.pattern).findall
+        # the classes differ beyond ASCII only, and take longer
+        self.ascii, self.other = (regex.compile(p).findall for p in (model.pattern.replace(r"\s", r"\p{White_Space}"), classes(model.pattern)))
         self.special = dict(model.special)
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")").split if self.special else None
         self.rank = dict(zip(model.pairs.tolist(), model.ranks.tolist(), strict=True))
@@ -124,6 +125,9 @@ class Encoder:
             self.lefts[r], self.rights[r] = divmod(key, model.size)
         self.tokens = np.array([t.encode() for t in model.tokens], object)
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.ascii if text.isascii() else self.other)(text)
+
     def normal(self, word: str) -> str:
         if word.isascii():
             return word.lower()
