@@ -19,7 +19,7 @@ hash function); its sketch are the ``K`` smallest of them.
    within the join.  In longer lists, the members' differences from what most of
    them have are indexed (:func:`by_difference`), which finds all links among them
    without pairing members that differ in ways of their own, whatever passages they
-   share.  The pairs are verified in the same way, and the components are made anew.
+   share.  The pairs are verified in the same way, and join the components found so far.
 
 Lists, links and components stay distributed; rows of a long list are joined by
 block or salt, frequent classes are left to Spark's skew handling, and counts are combined before the
@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -222,7 +222,7 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         some = some.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CENTER)) == 0).select("family", "node")
         asked = some.groupBy("family").agg(F.count("*").alias("asked"))
         times = some.join(full, "node").select("family", F.explode(unpacked("set")).alias("e")).groupBy("family", "e").agg(F.count("*").alias("n"))
-        centers = times.join(asked, "family").where("2 * n > asked").groupBy("family").agg(F.collect_list("e").alias("center"))
+        centers = cut(times.join(asked, "family").where("2 * n > asked").groupBy("family").agg(F.collect_list("e").alias("center")))
         rows = families.join(full, "node")
         rows = rows.withColumn("salt", _salt()).join(_spread(centers), ["family", "salt"], "left")
         rows = rows.select("family", "node", "salt", "component", (F.octet_length("set") / 8).cast("long").alias("n"), difference("center", "set").alias("d"))
@@ -241,13 +241,15 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
             half = F.col("g") / (2 * p)
             near = near.withColumn("level", _level(F.size("d") - half))
             least = near.groupBy("family", "level", "component").agg(F.min("g").alias("g"))
-            first = least.groupBy("family", "level").agg(F.min(F.struct("g", "component")).alias("o"))
-            second = least.join(first, ["family", "level"]).where("component <> o.component").groupBy("family", "level").agg(F.min(F.struct("g", "component")).alias("o"))
-            limits = first.union(second).groupBy("family").agg(F.collect_list(F.struct("level", "o")).alias("limits"))
+            # the two least of each level; Spark keeps two for each task before the shuffle
+            place = F.row_number().over(Window.partitionBy("family", "level").orderBy("g", "component"))
+            two = least.withColumn("place", place).where("place <= 2").select("family", F.struct("level", F.struct("g", "component").alias("o")).alias("x"))
+            limits = two.groupBy("family").agg(F.collect_list("x").alias("limits"))
             fit = F.filter("limits", lambda x: (x["level"] >= _level(half)) & (x["o"]["component"] != F.col("component")))  # noqa: B023
             bound = F.ceil((F.col("g") + F.array_min(F.transform(fit, lambda x: x["o"]["g"]))) / (2 * p)).cast("int")
             bound = F.when(F.size(fit) > 0, F.greatest(bound, F.lit(1)))
             near = near.drop("level").join(_spread(limits), ["family", "salt"]).withColumn("bound", bound).drop("limits").where("size(d) >= bound")
+            able = near = cut(near)
             parts = cut(near.select("family", "node", "component", "g", F.explode("d").alias("e")))
             met = parts.join(_listed(parts), ["family", "e"])
             own = met.groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
@@ -259,6 +261,7 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
                 near = near.join(_spread(joined), ["component", "salt"], "left").withColumn("component", F.coalesce("_new", "component"))
             near = cut(near.withColumn("d", F.transform("own", lambda x: x["e"])).select("family", "node", "salt", "component", "g", "d", "bound"))
             drop_cut(parts)
+            drop_cut(able)
         near = near.withColumnRenamed("d", "own")
         listed = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("bound") + 1))
         lists = cut(near.select("family", listed.alias("e"), "node", "salt", "component"))
@@ -280,7 +283,7 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         found = found.union(direct).union(last)
         longer = lists.join(_spread(kinds.where(F.col("members") > short).select("family", "e")), ["family", "e", "salt"])
         families = cut(longer.select(F.xxhash64("family", "e").alias("family"), "node", "component"))
-        for done in (apart, near, lists, kinds):
+        for done in (centers, apart, near, lists, kinds):
             drop_cut(done)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -357,7 +360,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     mixed = short.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     short = short.join(mixed.select("value"), "value", "left_semi")
     several = short.groupBy("node").agg(F.collect_set("value").alias("values"))
-    short = short.join(several, "node").join(known, "node")
+    few = cut(short.join(several, "node").select("value", "node", "component", "values"))
+    short = few.join(known, "node")
     left, right = (short.select("value", *(F.col(c).alias(c + side) for c in ("node", "component", "n", "sketch", "values"))) for side in ("_a", "_b"))
     # a pair is made in the first of its lists only
     once = F.col("value") == F.array_min(F.array_intersect("values_a", "values_b"))
@@ -371,9 +375,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     roots = roots.where("parts > 1").select("value", F.xxhash64("_m.component").alias("family"), blocks.alias("block"))
     families = cut(long.join(roots, ["value", "block"]).select("family", "node", "component").distinct())
     pairs = pairs.union(by_difference(families, full, percent, SHORT)).distinct()
-    more = linked(pairs.join(stars, ["a", "b"], "left_anti"))
-    every = cut(components(links.union(more)))
-    for done in (lists, full, stars, links, found, placed, families):
+    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    more = linked(pairs)
+    # the components so far are the nodes that the new links connect
+    ends = ((side, found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))) for side in ("a", "b"))
+    for side, of in ends:
+        more = more.join(of, side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
+    merged = cut(components(more))
+    top = _spread(merged.select(F.col("node").alias("component"), F.col("component").alias("top")))
+    renamed = found.withColumn("salt", _salt()).join(top, ["component", "salt"], "left").select("node", F.coalesce("top", "component").alias("component"))
+    every = cut(renamed.union(merged.join(found, "node", "left_anti")))
+    for done in (lists, full, stars, links, found, placed, families, few, pairs, merged):
         drop_cut(done)
 
     # components of all rows
