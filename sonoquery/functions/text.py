@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Mapping, Sequence
+from functools import lru_cache, reduce
+from itertools import groupby
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -96,10 +98,59 @@ BEFORE: tuple[tuple[str, str], ...] = (
 AFTER: tuple[tuple[str, str], ...] = ((r"[.$¢€£]([^0-9])", r" \1"), (r"([^0-9])%", r"\1 "), (r"\s+", " "))
 
 
+# Patterns that give what those above give, without starting anew at each opener, blank or end of a word.
+LINEAR = {
+    r"[<\[][^>\]]*[>\]]": (r"[<\[][^>\]]*+[>\]]|([<\[][^>\]]*+\z)", "$1"),
+    r"\(([^)]+?)\)": (r"\([^)]++\)|(\([^)]*+\z)", "$1"),
+    r"\b(" + "|".join(FILLERS) + r")\b": (r"(?=[hmu])\b(?:" + "|".join(FILLERS) + r")\b", ""),
+    r"\s+'": (r"(?<!\s)\s++'", "'"),
+    r"\s+": (r"[\t\n\x0B\f\r]\s*+| \s++", " "),
+}
+#: What a text must contain, one of them, for a pattern to be found in it; rewrites need their own letters.
+NEEDED = {
+    r"[<\[][^>\]]*[>\]]": "<[",
+    r"\(([^)]+?)\)": "(",
+    r"\s+'": "'",
+    r"(\d),(\d)": ",",
+    r"\.([^0-9]|$)": ".",
+    r"[.$¢€£]([^0-9])": ".$¢€£",
+    r"([^0-9])%": "%",
+} | {pattern: (pattern.replace(r"\b", ""),) for pattern, _ in REWRITES}
+
+
+def _java(pattern: str, new: str) -> tuple[str, str]:
+    """Pattern and replacement for Spark; a word is looked for by its letters before its start is checked."""
+    if pattern in LINEAR:
+        return LINEAR[pattern]
+    word = re.fullmatch(r"\\b([a-z']+)\\b", pattern)
+    if word:
+        pattern = rf"{word[1]}\b(?<=\b{word[1]})"
+    return pattern, re.sub(r"\\(\d)", r"$\1", new)
+
+
+def _step(pattern: str, new: str) -> Callable[[Column], Column]:
+    java, needed = _java(pattern, new), NEEDED.get(pattern)
+
+    def step(t: Column) -> Column:
+        done = F.regexp_replace(t, *java)
+        return F.when(reduce(or_, map(t.contains, needed)), done).otherwise(t) if needed else done
+
+    return step
+
+
 def replaced(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
-    for pattern, new in steps:
-        text = F.regexp_replace(text, pattern, re.sub(r"\\(\d)", lambda m: "$" + m[1], new))
-    return text
+    """``text`` after all steps.  A step, or a run of steps on apostrophes, scans only texts that contain what it needs.
+
+    Each step takes the text as the element of an array, so that the plan has it once.
+    """
+    one = F.array(text)
+    for apostrophes, group in groupby(steps, lambda step: all("'" in x for x in NEEDED.get(step[0], [""]))):
+        own = [_step(*step) for step in group]
+        if apostrophes:
+            one = F.transform(one, lambda t: F.when(t.contains("'"), F.get(reduce(F.transform, own, F.array(t)), F.lit(0))).otherwise(t))  # noqa: B023
+        else:
+            one = reduce(F.transform, own, one)
+    return F.get(one, F.lit(0))
 
 
 def _folded_letters() -> tuple[str, str]:
@@ -114,13 +165,16 @@ def native(text: Column) -> Column:
 
     Marks are taken off first, so that word boundaries are those of ASCII.
     """
-    text = F.lower(F.translate(text, *_folded_letters()))
-    for letter, new in LETTERS.items():
-        if letter.islower():
-            text = F.replace(text, F.lit(letter), F.lit(new))
-    text = replaced(text, BEFORE)
-    text = F.regexp_replace(text, r"[^a-z0-9\s.%$]", " ")
-    return F.trim(replaced(text, AFTER))
+
+    def folded(t: Column) -> Column:
+        done = F.lower(F.translate(t, *_folded_letters()))
+        for letter, new in LETTERS.items():
+            if letter.islower():
+                done = F.replace(done, F.lit(letter), F.lit(new))
+        return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(done)
+
+    # one blank for a run of marks is enough: the last step makes runs of blanks one
+    return F.trim(replaced(F.get(F.transform(F.array(text), folded), F.lit(0)), (*BEFORE, (r"[^a-z0-9\s.%$]+", " "), *AFTER)))
 
 
 def native_sql(column: str) -> str:

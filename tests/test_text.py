@@ -1,6 +1,7 @@
 """Normalizer cases worked out by hand, edit distances, and the native steps."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,29 @@ def test_native_steps_equal_the_whole_normalizer_without_numbers(spark):
     assert got == [text.normalize(c, {}) for c in cases]
 
 
+def test_native_steps_equal_the_patterns_one_by_one(spark):
+    """The Spark forms of the patterns against Python's, on texts full of openers, blanks and marks."""
+    rng = random.Random(1)
+    pieces = ["<", "[", ">", "]", "(", ")", "()", " ", "  ", "\t", "\n", " \n", "'", "'s", "'s been", "n't", "won't", "ma'am", "i'ma", "mr", "mrs", "st", "col", "um", "hum", "uh", "mhm", ".", "..", "!", ",", "1", "2,3", "%", "$", "a", "b c", "1 %", "wanna"]
+    cases = ["".join(rng.choices(pieces, k=rng.randint(0, 24))) for _ in range(3000)]
+    steps = [(re.compile(p), new) for p, new in (*text.BEFORE, (r"[^a-z0-9\s.%$]", " "), *text.AFTER)]
+    wanted = []
+    for case in cases:
+        for pattern, new in steps:
+            case = pattern.sub(new, case)
+        wanted.append(case.strip(" "))
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", text.native(F.col("t")).alias("t")).orderBy("i")
+    assert [r["t"] for r in rows.collect()] == wanted
+
+
+def test_native_steps_on_long_runs_and_nulls(spark):
+    """Time in proportion to the text: a quadratic pattern takes minutes on these."""
+    n = 500_000
+    rows = spark.createDataFrame([(0, "<" * n), (1, "(" * n), (2, "'" + " " * n + "a"), (3, "> ) <" + "[(" * n), (4, None), (5, "")], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(text.native(F.col("t"))).collect()]
+    assert got == ["", "", "a", "", None, ""]
+
+
 def test_arrow_functions_keep_nulls(spark):
     df = spark.createDataFrame([(None, None), ("Uh colour", "b c")], "a string, b string")
     rows = df.select(text.normalized(F.col("a"), SPELLING).alias("n"), text.edit_distance(text.tokens(F.col("a")), text.tokens(F.col("b"))).alias("d")).collect()
