@@ -17,6 +17,13 @@ LITERALS = (
     "1,234,567", "two and a half million", "minus five degrees", "twenty pounds and fifty cents", "ninety nine percent", "", "   ", "...", "A", "The cause seems superfluous on first sight.", "kinda sorta dunno",
 )
 
+# What the normalizer must make of each literal, worked out by hand.
+WANTED = (
+    "", "he realized the color of the theater program", "mister smith and doctor jones met saint paul is", "it cost $20000000 5%", "23456", "101",
+    "007", "3.14", "the 1960s the 274th the 32nd", "i had been there she has gone they had done it", "will not can not let us aint you all want to got to going to", "some words more", "naive cafe resume",
+    "1234567", "2500000", "-5 degrees", "£20.50", "99%", "", "", ".", "a", "the cause seems superfluous on 1st sight", "kinda sorta dunno",
+)
+
 
 def text_norm_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -115,8 +122,14 @@ def _case(column: str, pairs) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs) + f" ELSE {column} END"
 
 
+def _values(rows) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({i}::BIGINT, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(rows))
+
+
 SQL = {
     "text_norm_native": f"SELECT doc_id, md5({text.native_sql('text')}) AS normalized_md5 FROM documents",
+    "text_norm_numbers": f"SELECT * FROM (VALUES {_values(zip(LITERALS, WANTED, strict=True))}) AS t(id, text, normalized)",
     "word_edit_distance": f"""WITH RECURSIVE {_TURNS}, words AS (SELECT conv_id, turn, {_WORDS.format('reference')} AS r, {_WORDS.format('hypothesis')} AS h FROM turns),
 steps AS (SELECT conv_id, turn, r, h, 0 AS i, range(0, len(h) + 1) AS d FROM words
     UNION ALL
