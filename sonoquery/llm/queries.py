@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, warc, winnowing
+from . import bpe, conversations, cover_tree, license_scan, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, warc, winnowing
 from .frames import cut, table
 
 
@@ -166,6 +166,37 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *(F.col(f"license.{c}").alias(c) for c in names))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    found = cut(conversations.audits(rows))
+    done = conversations.digests(rows, found).withColumnRenamed("conv", "_conv")
+    out = found.join(done, F.col("conv").eqNullSafe(F.col("_conv")))
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    return out.select(F.col("conv").alias("conv_id"), *names, F.col("sha256").alias("repaired_sha256"), "n_rows")
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE valid AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN counted USING (vec_id)
+"""
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -177,9 +208,12 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
+    "op12_conversations": op12_conversations,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 SQL: dict[str, str] = {
     "op3_warc_fixity": OP3_SQL,
     "op5_mixing": OP5_SQL,
+    "op13_embedding_dedup": OP13_SQL,
 }
