@@ -480,7 +480,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
         trim()
         return pa.Table.from_pylist([row], schema=pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in payload.split(", ")]))
 
-    trees = cut(placed_in.drop("apart").groupBy("unit", "salt").applyInArrow(grown, payload))
+    trees = cut(placed_in.drop("apart").groupBy("unit", "salt").applyInArrow(grown, payload), row_group=16 << 20)
 
     def both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

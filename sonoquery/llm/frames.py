@@ -67,11 +67,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, stats: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read back: short lineage that survives lost executors."""
+def cut(df: DataFrame, row_group: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: short lineage that survives lost executors.
+
+    ``row_group``: bytes of a row group, for tables of large rows, as readers hold a row group's batch at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sonoquery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", str(row_group)) if row_group else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, cover_tree, license_scan, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, warc, winnowing
+from . import bpe, conversations, cover_tree, license_scan, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, ranked_search, warc, winnowing
 from .frames import cut, table
 
 
@@ -166,10 +166,32 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *(F.col(f"license.{c}").alias(c) for c in names))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counts AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY doc_id, term),
+docs AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS len FROM docs),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * total) // len))))::BIGINT AS score
+    FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN docs USING (doc_id), totals GROUP BY item_id, doc_id),
+ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(table(spark, sf_dir, "conversations"))
     found = cut(conversations.audits(rows))
-    done = conversations.digests(rows, found).withColumnRenamed("conv", "_conv")
+    done = conversations.digests(rows, found).withColumnRenamed("conv", "_conv").hint("shuffle_hash")
     out = found.join(done, F.col("conv").eqNullSafe(F.col("_conv")))
     names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
     return out.select(F.col("conv").alias("conv_id"), *names, F.col("sha256").alias("repaired_sha256"), "n_rows")
@@ -208,6 +230,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
+    "op11_ranked_search": op11_ranked_search,
     "op12_conversations": op12_conversations,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
@@ -215,5 +238,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op3_warc_fixity": OP3_SQL,
     "op5_mixing": OP5_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op13_embedding_dedup": OP13_SQL,
 }
