@@ -9,9 +9,9 @@ from ..functions import text
 
 
 def in_rooms(rows: DataFrame, rooms, room: str = "room") -> DataFrame:
-    """Rows of some rooms; a list is pushed to the scan, a table is a semi-join (few rows)."""
+    """Rows of some rooms; a list is pushed to the scan, a table is a semi-join (broadcast only where Spark knows it to be small)."""
     if isinstance(rooms, DataFrame):
-        return rows.join(F.broadcast(rooms.select(F.col("room").alias(room)).distinct()), room, "left_semi")
+        return rows.join(rooms.select(F.col("room").alias(room)), room, "left_semi")
     return rows.where(F.col(room).isin(*rooms))
 
 

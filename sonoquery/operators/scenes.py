@@ -14,7 +14,31 @@ from ..functions import dsp
 from ..schema import METADATA
 from . import sampling, scoring
 
-_NOISE = "array<struct<clip:array<double>,response:array<double>,distance:double,offset_ms:double>>"
+#: Uses of one waveform by recipes beyond which it is dealt to several tasks, and waveforms that may be told to be such.
+HOT_USES, MAX_HOT = 10_000, 10_000
+
+
+def meet(rows: DataFrame, key: str, waves: DataFrame, *spread: str) -> DataFrame:
+    """``rows`` with the columns of ``waves`` by ``key`` (inner join), where few waveforms may be used by most rows.
+
+    Rows are narrow, waveforms are not.  Uses are counted first; a waveform that has more than ``HOT_USES`` of them (or more than a
+    ``MAX_HOT``-th of all, so that there are at most ``MAX_HOT`` such) is copied as often as its uses ask
+    for, and its rows are dealt to the copies by a hash of the columns ``spread``.  The others join by key alone, so a table stored by
+    :func:`sonoquery.sources.audio.store_blocks` isn't shuffled for them.
+    """
+    spark = rows.sparkSession
+    uses = rows.groupBy(key).agg(F.count("*").alias("_uses"))
+    total = uses.agg(F.coalesce(F.sum("_uses"), F.lit(0)).alias("n"), F.coalesce(F.max("_uses"), F.lit(0)).alias("most")).first()
+    limit = max(HOT_USES, -(-total["n"] // MAX_HOT))
+    if total["most"] <= limit:
+        return rows.join(waves, key)
+    often = [(r[key], -(-r["_uses"] // limit)) for r in uses.where(F.col("_uses") > limit).collect()]
+    copies = F.broadcast(spark.createDataFrame(often, f"{key} {rows.schema[key].dataType.simpleString()}, _copies bigint"))  # at most MAX_HOT rows
+    marked = rows.join(copies, key, "left")
+    cold = marked.where("_copies is null").drop("_copies").join(waves, key)
+    dealt = marked.where("_copies is not null").withColumn("_copy", F.pmod(F.xxhash64(*spread), F.col("_copies"))).drop("_copies")
+    hot = waves.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1))).drop("_copies")
+    return cold.unionByName(dealt.join(hot, [key, "_copy"]).drop("_copy"))
 
 
 def gather(recipes: DataFrame, speech: DataFrame, noise: DataFrame, responses: DataFrame) -> DataFrame:
@@ -25,12 +49,15 @@ def gather(recipes: DataFrame, speech: DataFrame, noise: DataFrame, responses: D
     sizes = F.when((F.size("noise_indices") == F.size("noise_rir_indices")) & (F.size("noise_indices") == F.size("offsets_ms")), F.col("noise_indices")).otherwise(F.raise_error(F.lit("noises, responses and offsets differ in number")))
     parts = recipes.select("speech_index", F.posexplode(F.arrays_zip(sizes.alias("noise"), F.col("noise_rir_indices").alias("rir"), F.col("offsets_ms").alias("offset"))).alias("pos", "p"))
     parts = parts.select("speech_index", "pos", F.expr("p.noise").alias("_noise"), F.expr("p.rir").alias("_rir"), F.expr("p.offset").alias("_offset"))
-    parts = parts.join(noise.select(F.col("row_id").alias("_noise"), F.col("audio").alias("_clip")), "_noise").join(responses.select(F.col("row_id").alias("_rir"), F.col("audio").alias("_response"), F.col("distance").alias("_distance")), "_rir")
-    row = F.struct("pos", F.col("_clip").alias("clip"), F.col("_response").alias("response"), F.col("_distance").alias("distance"), F.col("_offset").alias("offset_ms"))
-    noises = parts.groupBy("speech_index").agg(F.sort_array(F.collect_list(row)).alias("noises"))
-    out = recipes.join(noises, "speech_index")
-    out = out.join(speech.select(F.col("row_id").alias("speech_index"), F.col("audio").alias("clip"), "text"), "speech_index")
-    return out.join(responses.select(F.col("row_id").alias("speech_rir_index"), F.col("audio").alias("response"), "distance"), "speech_rir_index")
+    # each side's waveform meets the narrow parts; only then do they travel to their scene
+    clips = meet(parts.select("speech_index", "pos", "_noise", "_offset"), "_noise", noise.select(F.col("row_id").alias("_noise"), F.col("audio").alias("clip")), "speech_index", "pos")
+    heard = meet(parts.select("speech_index", "pos", "_rir"), "_rir", responses.select(F.col("row_id").alias("_rir"), F.col("audio").alias("response"), "distance"), "speech_index", "pos")
+    clips = clips.groupBy("speech_index").agg(F.sort_array(F.collect_list(F.struct("pos", "clip", F.col("_offset").alias("offset_ms")))).alias("_clips"))
+    heard = heard.groupBy("speech_index").agg(F.sort_array(F.collect_list(F.struct("pos", "response", "distance"))).alias("_heard"))
+    noises = F.zip_with("_clips", "_heard", lambda c, h: F.struct(c["pos"].alias("pos"), c["clip"].alias("clip"), h["response"].alias("response"), h["distance"].alias("distance"), c["offset_ms"].alias("offset_ms")))
+    own = meet(recipes, "speech_rir_index", responses.select(F.col("row_id").alias("speech_rir_index"), F.col("audio").alias("response"), "distance"), "speech_index")
+    out = own.join(clips, "speech_index").join(heard, "speech_index").where(F.size("_clips") == F.size("_heard")).withColumn("noises", noises).drop("_clips", "_heard")
+    return out.join(speech.select(F.col("row_id").alias("speech_index"), F.col("audio").alias("clip"), "text"), "speech_index")
 
 
 def _room(clip, response, distance, noises, pink_db, seed, sr: int) -> dsp.Room:

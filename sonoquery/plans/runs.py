@@ -35,7 +35,7 @@ def validation_rows(rows: DataFrame, params: Params) -> DataFrame:
 
 def training_scenes(speech: DataFrame, noise: DataFrame, responses: DataFrame, params: Params, epoch: int = 0) -> DataFrame:
     """A scene for each utterance, clean or rendered, of one epoch."""
-    index = sampling.RoomIndex.of(responses)
+    index = sampling.RankIndex.of(responses)
     drawn = sampling.recipes(speech.select(F.col("row_id").alias("speech_index")), index, noise.count(), params, params.base_seed, epoch).persist()
     mixed = scenes.gather(drawn.where(~F.col("is_clean")).drop("is_clean"), speech, noise, responses)
     return scenes.render(mixed, params.sample_rate).unionByName(scenes.clean(drawn.where("is_clean"), speech))
@@ -44,7 +44,7 @@ def training_scenes(speech: DataFrame, noise: DataFrame, responses: DataFrame, p
 def _base(speech: DataFrame, noise: DataFrame, responses: DataFrame, params: Params, n: int, seed: int) -> DataFrame:
     spark = speech.sparkSession
     utterances = sampling.chosen(spark, speech.count(), n, seed).select("speech_index")
-    drawn = sampling.recipes(utterances, sampling.RoomIndex.of(responses), noise.count(), params, seed, mode="eval").drop("is_clean")
+    drawn = sampling.recipes(utterances, sampling.RankIndex.of(responses), noise.count(), params, seed, mode="eval").drop("is_clean")
     return scenes.gather(drawn, speech, noise, responses).persist()
 
 
@@ -54,9 +54,10 @@ def _rendered(base: DataFrame, found: DataFrame, params: Params) -> DataFrame:
     rows = base.join(own, F.col("speech_index") == F.col("_i")).withColumn("target_snr_db", F.col("_target"))
     # the condition travels in the id, as a scene's row has the scene's columns only
     numbers = own.select("condition").distinct().select("condition", F.dense_rank().over(Window.orderBy("condition")).cast("bigint").alias("_c"))
-    rows = rows.join(F.broadcast(numbers), "condition").withColumn("speech_index", F.col("speech_index") * 1000 + F.col("_c"))
-    out = scenes.render(rows, params.sample_rate).withColumn("_c", F.col("scene_id") % 1000).join(F.broadcast(numbers), "_c")
-    return out.withColumn("speech_index", F.floor(F.col("scene_id") / 1000).cast("bigint")).drop("_c", "scene_id")
+    count = numbers.count()
+    rows = rows.join(F.broadcast(numbers), "condition").withColumn("speech_index", F.col("speech_index") * count + F.col("_c") - 1)
+    out = scenes.render(rows, params.sample_rate).withColumn("_c", F.col("scene_id") % count + 1).join(F.broadcast(numbers), "_c")
+    return out.withColumn("speech_index", F.floor(F.col("scene_id") / count).cast("bigint")).drop("_c", "scene_id")
 
 
 def evaluation_scenes(speech: DataFrame, noise: DataFrame, responses: DataFrame, params: Params, seed: int = 0) -> DataFrame:

@@ -31,7 +31,7 @@ def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 def recipes(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     speech, noise, responses = sources(spark, sf_dir)
-    index = sampling.RoomIndex.of(responses)
+    index = sampling.RankIndex.of(responses)
     return sampling.recipes(speech.select(F.col("row_id").alias("speech_index")), index, noise.count(), PARAMS, PARAMS.base_seed, mode=mode)
 
 
@@ -75,8 +75,43 @@ def chosen_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.chosen(spark, rows.count(), 20, 0).join(rows, "speech_index")
 
 
-ALL = (recipe_sample, render_scene, rejection_bands, rejection_sweep, audio_roundtrip, chosen_utterances)
+def shuffled_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the order of the permutation."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("speech_index"), F.char_length("text").cast("bigint").alias("n_chars"))
+    n = rows.count()
+    return sampling.chosen(spark, n, n, 7).withColumn("place", F.col("place").cast("bigint")).join(rows, "speech_index")
+
+
+def _chosen_sql(table: str, own: str, n: str, seed: int) -> str:
+    """The permutation over a table whose ids are 0, 1, 2 ...; places outside are permuted again by recursion."""
+    a, b = "(SELECT a FROM size)", "(SELECT b FROM size)"
+    once = lambda source: sampling.permuted_sql(source, "(SELECT n FROM size)", (a, b), seed)
+    return f"""WITH RECURSIVE total AS (SELECT count(*)::BIGINT AS n FROM {table}),
+side AS (SELECT n, max(k) + 1 AS a FROM total, range(0, 4096) r(k) WHERE k = 0 OR k * k <= n - 1 GROUP BY n),
+size AS (SELECT n, a, (n + a - 1) // a AS b FROM side),
+places AS (SELECT k, k AS x FROM range(0, {n}) r(k)),
+walk AS (SELECT k, x FROM ({once('places')}) UNION ALL SELECT k, x FROM ({once('(SELECT k, x FROM walk WHERE x >= (SELECT n FROM size))')}))
+SELECT {own} FROM walk JOIN {table} ON x = {'item_id' if table == 'benchmark' else 'doc_id'}"""
+
+
+def rank_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every response's address: the numbers of its room and receiver, its rank, and the sizes that draws need."""
+    index = sampling.RankIndex.of(room_queries.responses(spark, sf_dir))
+    rows = index.rows.join(index.groups, ["room", "receiver"]).join(index.rooms, "room")
+    return rows.select("row_id", "room", "receiver", "room_no", "receivers", "receiver_no", "size", "rank")
+
+
+RANKS_SQL = f"""WITH {room_queries.RESPONSES}, sizes AS (SELECT room, receiver, count(*) AS size FROM responses GROUP BY ALL),
+groups AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY receiver) - 1 AS receiver_no FROM sizes),
+rooms AS (SELECT *, row_number() OVER (ORDER BY room) - 1 AS room_no FROM (SELECT room, count(*) AS receivers FROM groups GROUP BY room))
+SELECT row_id, room, receiver, room_no, receivers, receiver_no, size, row_number() OVER (PARTITION BY room, receiver ORDER BY row_id) - 1 AS rank
+FROM responses JOIN groups USING (room, receiver) JOIN rooms USING (room)"""
+
+ALL = (recipe_sample, rank_addresses, render_scene, rejection_bands, rejection_sweep, audio_roundtrip, chosen_utterances, shuffled_utterances)
 QUERIES = {f.__name__: f for f in ALL}
 SQL = {
+    "rank_addresses": RANKS_SQL,
+    "chosen_utterances": _chosen_sql("benchmark", "k::INTEGER AS place, x AS speech_index, text", "20", 0),
+    "shuffled_utterances": _chosen_sql("documents", "k AS place, x AS speech_index, len(text) AS n_chars", "(SELECT n FROM total)", 7),
     "audio_roundtrip": "SELECT vec_id AS id, 44 + 2 * len(embedding)::BIGINT AS bytes, 1000::INTEGER AS sr, round(len(embedding) / 1000, 6) AS seconds, true AS close, 2 * len(embedding)::BIGINT AS resampled FROM embeddings",
 }

@@ -150,6 +150,15 @@ def write_shards(rows: DataFrame, path: str, shards: int = 1) -> None:
     ordered.drop("room_type", "name").write.mode("overwrite").parquet(path)
 
 
+def store_blocks(rows: DataFrame, name: str, blocks: int, row: str = "row_id") -> DataFrame:
+    """``rows`` stored as a table of ``blocks`` buckets by ``row``, each sorted by it.
+
+    Joins by ``row`` read the buckets as they lie: what is looked up is shuffled to them, the waveforms are not.
+    """
+    rows.write.mode("overwrite").bucketBy(blocks, row).sortBy(row).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``row_id``, their number in a stable order.
 
