@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import room_queries, scene_queries, scoring_queries, signal_queries, text_queries
+from . import file_queries, room_queries, scene_queries, scoring_queries, signal_queries, text_queries
 
-_MODULES = (scoring_queries, room_queries, signal_queries, text_queries, scene_queries)
+_MODULES = (scoring_queries, room_queries, signal_queries, text_queries, scene_queries, file_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import math
-import zipfile
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp, text
 from ..operators import rooms
+from . import files
 
 #: Files that one call may name; their names go through the driver.
 MAX_PATHS = 100_000
@@ -61,9 +60,30 @@ def decoded(data: Column, sr: int | None = None) -> Column:
     return F.arrow_udf(work, "struct<audio:array<double>,sr:int>")(data)
 
 
+#: Bytes of a WAV record that are sent to Python for its duration.
+HEAD = 4096
+
+
 def seconds(data: Column) -> Column:
-    """Duration from the header of WAV bytes."""
-    return F.arrow_udf(lambda files: pa.array([dsp.wav_seconds(x) for x in files.to_pylist()], pa.float64()), "double")(data)
+    """Duration from the header of WAV bytes.
+
+    Only ``HEAD`` bytes and the length of a record leave the JVM; records whose samples begin beyond (long chunks of other kinds before) are sent whole.
+    """
+
+    def from_head(heads: pa.Array, sizes: pa.Array) -> pa.Array:
+        out = []
+        for head, size in zip(heads.to_pylist(), sizes.to_pylist(), strict=True):
+            try:
+                out.append(None if head is None else files.wav_head(io.BytesIO(head), size)["seconds"])
+            except ValueError:
+                out.append(None)
+        return pa.array(out, pa.float64())
+
+    def whole(records: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else dsp.wav_seconds(x) for x in records.to_pylist()], pa.float64())
+
+    first = F.arrow_udf(from_head, "double")(F.substring(data, 1, HEAD), F.octet_length(data))
+    return F.coalesce(first, F.arrow_udf(whole, "double")(F.when(first.isNull(), data)))
 
 
 def encoded(audio: Column, sr: int, subtype: str = "PCM_16") -> Column:
@@ -78,30 +98,25 @@ def resampled(audio: Column, rate: Column, wanted: int) -> Column:
     return F.arrow_udf(work, "array<double>")(audio, rate)
 
 
-def members(spark: SparkSession, folder: str) -> DataFrame:
+def members(spark: SparkSession, folder: str, split: int = files.SPLIT_BYTES) -> DataFrame:
     """Impulse responses in ``folder/*.zip``: ``room_type``, ``room``, ``name``, ``src``, ``rec``, ``bytes``.
 
-    An archive (up to 2 GB) is opened by one task and its members are streamed out.
+    An archive of any size is read by several tasks (see :class:`sonoquery.sources.files.ArchiveMembers`).
     Names must end in ``_hybrid_IR.wav`` and begin with S<number>_R<number>, which are read as numbers.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with zipfile.ZipFile(io.BytesIO(data.as_buffer())) as bundle:
-                    for name in bundle.namelist():
-                        if name.endswith("_hybrid_IR.wav"):
-                            yield pa.RecordBatch.from_pydict({"path": [path], "name": [name], "bytes": [bundle.read(name)]}, pa.schema([("path", pa.string()), ("name", pa.string()), ("bytes", pa.binary())]))
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
-    if files.select("path").limit(1).count() == 0:
+    if not files.listed(folder, ".zip"):
         raise FileNotFoundError(f"no .zip archives in {folder}")
-    rows = files.mapInArrow(work, "path string, name string, bytes binary")
+    rows = files.registered(spark).read.format("zipmembers").option("ending", "_hybrid_IR.wav").option("split", str(split)).load(folder)
     parts = F.split("name", "/")
     stem = F.element_at(parts, -1)
     rows = rows.where(stem.rlike(r"^S([0-9]+)_R([0-9]+)"))
     number = lambda i: F.regexp_extract(stem, r"^S([0-9]+)_R([0-9]+)", i).cast("bigint")
-    return rows.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("room_type"), F.element_at(parts, -2).alias("room"), "name", number(1).alias("src"), number(2).alias("rec"), "bytes")
+    return rows.select(F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("room_type"), F.element_at(parts, -2).alias("room"), "name", number(1).alias("src"), number(2).alias("rec"), "bytes")
+
+
+def durations(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, seconds, ...) of the WAV files below ``folder``, from ranged reads of their headers; filters are pushed to the scan."""
+    return files.registered(spark).read.format("wavheads").load(folder)
 
 
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
