@@ -5,9 +5,11 @@ and joined by Spark to the positions of equal grams in the templates.  A hit
 votes for a diagonal (its position in the text minus that in the template).
 Votes are added up for each text, template and diagonal; diagonals at most
 ``NEAR`` apart are merged, which bridges inserted and missing words; what has
-votes enough is verified on the words: the longest common subsequence of the
-span and the template must cover ``COVER`` of the template, and as large a part of the
-words between the first hit and the last, so words that are strewn over a text are no match.
+votes enough is verified on the words.  Merged diagonals may chain a good match with what stands around it (a
+repeated tail, say), so the stretch of at most length / ``COVER`` words that holds most of the template's grams is taken,
+then what is left before and behind it likewise.  The longest common subsequence of the stretch and the
+template must cover ``COVER`` of the template, and as large a part of the words
+between the stretch's first hit and its last, so words that are strewn over a text are no match.
 
 The templates are constants of the operator, so their table (about a thousand
 rows) is broadcast.  Rows are told apart by their key and a hash of the text.
@@ -124,15 +126,58 @@ def common(a: Sequence[str], b: Sequence[str]) -> int:
     return len(b) - free.bit_count()
 
 
-def _verified(text: str | None, spans: list[dict], templates: Sequence[tuple[str, str]], cover: float) -> list[dict]:
+def _best(hits: list[tuple[int, int]], k: int, limit: float) -> tuple[int, int, int]:
+    """(different grams, first, last) of the stretch of at most ``limit`` words that holds most grams of the template; of several the shortest, then the first."""
+    held: dict[int, int] = {}
+    best, left = (0, 0, 0, -1), 0
+    for right, (pos, at) in enumerate(hits):
+        held[at] = held.get(at, 0) + 1
+        while pos + k - hits[left][0] > limit or held[hits[left][1]] > 1:
+            gone = hits[left][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            left += 1
+        best = max(best, (len(held), hits[left][0] - pos, -left, right))
+    return best[0], -best[2], best[3]
+
+
+def _windows(own: Sequence[str], start: int, end: int, wanted: Sequence[str], k: int, votes: float, cover: float) -> list[tuple[int, int]]:
+    """Stretches of ``own[start:end]``, as places of the first and behind the last word, that hold ``votes`` of a template's grams or more."""
+    grams_at: dict[tuple[str, ...], list[int]] = {}
+    for i in range(max(1, len(wanted) - k + 1)):
+        grams_at.setdefault(tuple(wanted[i : i + k]), []).append(i)
+    hits = [(pos, at) for pos in range(start, end - k + 1) for at in grams_at.get(tuple(own[pos : pos + k]), ())]
+    found, open_ = [], [hits]
+    while open_:  # what stands before and behind a stretch may hold others
+        part = open_.pop()
+        if len(part) < votes:
+            continue
+        many, first, last = _best(part, k, len(wanted) / cover)
+        if many >= votes:
+            # words at the ends that are in no gram belong to it too, as far as the template has them
+            found.append((max(start, part[first][0] - part[first][1], part[last][0] + k - int(len(wanted) / cover)), part[first][0], part[last][0] + k, min(end, part[last][0] - part[last][1] + len(wanted))))
+            open_ += [part[last + 1 :], part[:first]]
+    return sorted((lo, since, until, hi) for lo, since, until, hi in found)
+
+
+def _verified(text: str | None, spans: list[dict], templates: Sequence[tuple[str, str]], cover: float, k: int = K, votes: float = VOTES) -> list[dict]:
+    """Of every chain of diagonals, the stretches in which the template is verified: their words, and as large a part of them, must be the template's."""
     own, out = words(text or ""), []
-    for s in spans:
-        label, wanted = templates[s["template"]][0], words(templates[s["template"]][1])
-        start, end = max(0, s["start"]), min(len(own), s["end"])
-        shared = common(own[start:end], wanted)
-        similarity = shared / len(wanted)
-        if similarity >= cover and shared >= cover * (s["until"] - s["since"]):
-            out.append({"label": label, "start": start, "end": end, "similarity": similarity})
+    ranges: list[list[int]] = []
+    for s in sorted(spans, key=lambda s: (s["template"], s["start"])):
+        low, high = max(0, s["start"]), min(len(own), s["end"])
+        if ranges and ranges[-1][0] == s["template"] and low < ranges[-1][2]:  # chains of one template may overlap
+            ranges[-1][2] = max(ranges[-1][2], high)
+        else:
+            ranges.append([s["template"], low, high])
+    for template, low, high in ranges:
+        label, wanted = templates[template][0], words(templates[template][1])
+        for start, since, until, end in _windows(own, low, high, wanted, k, votes * max(1, len(wanted) - k + 1), cover):
+            shared = common(own[start:end], wanted)
+            similarity = shared / len(wanted)
+            if similarity >= cover and shared >= cover * (until - since):
+                out.append({"label": label, "start": start, "end": end, "similarity": similarity})
     return out
 
 
@@ -156,18 +201,17 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: Se
     known = spark.createDataFrame(template_grams(templates, k), "gram bigint, template int, at int")
     long = spark.createDataFrame([(t, size[t], len(words(x))) for t, (_, x) in enumerate(templates)], "template int, size int, length int")
     hits = docs.select(*ids, F.posexplode(work(k)["grams"]).alias("pos", "gram")).join(F.broadcast(known), "gram")
-    ends = F.min("pos").alias("since"), (F.max("pos") + k).alias("until")
-    votes = hits.groupBy("_a", "_b", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), *ends)
+    votes = hits.groupBy("_a", "_b", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     order = Window.partitionBy("_a", "_b", "template").orderBy("diagonal")
     votes = votes.withColumn("_new", (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(order) > NEAR).cast("int"))
     votes = votes.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = votes.groupBy("_a", "_b", "template", "_group").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.min("since").alias("since"), F.max("until").alias("until"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
+    merged = votes.groupBy("_a", "_b", "template", "_group").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
     merged = merged.join(F.broadcast(long), "template").where(F.col("votes") >= F.lit(VOTES) * F.col("size"))
-    span = F.struct("template", F.col("low").cast("long").alias("start"), (F.col("high") + F.col("length")).cast("long").alias("end"), F.col("since").cast("long").alias("since"), F.col("until").cast("long").alias("until"))
+    span = F.struct("template", F.col("low").cast("long").alias("start"), (F.col("high") + F.col("length")).cast("long").alias("end"))
     spans = merged.groupBy("_a", "_b").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
 
     def check(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_verified(t, s, templates, COVER) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], SPANS)
+        return pa.array([_verified(t, s, templates, COVER, k) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], SPANS)
 
     asked = docs.select(*ids, as_text.alias("_text")).join(spans.hint("shuffle_hash"), ["_a", "_b"])
     verified = asked.select("_a", "_b", F.arrow_udf(check, SPANS_DDL)("_text", "_spans").alias("_found")).groupBy("_a", "_b").agg(F.first("_found").alias("_found"))

@@ -115,3 +115,20 @@ def _next(row, x, b):
     for j, y in enumerate(b):
         out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
     return out
+
+
+def test_repeated_parts_of_a_template(spark):
+    """An exact template keeps its label, whatever of itself stands before or behind it."""
+    rows = []
+    for t, (label, text) in enumerate(TEMPLATES):
+        own = scan.words(text)
+        half = len(own) // 2
+        tail, head = own[-3:] * (half // 3 + 1), own[:3] * (half // 3 + 1)
+        for i, made in enumerate((own, own + tail[:half], head[:half] + own, own * 3, own + own[: len(own) // 2], own[:3] * 200 + own + own[-3:] * 200, ["word"] * 200 + own + tail)):
+            rows.append((100 * t + i, " ".join(made)))
+    got = {r.doc_id: r.license for r in scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for t, (label, _) in enumerate(TEMPLATES):
+        for i in range(7):
+            assert label in got[100 * t + i].labels.split(","), (label, i)
+            assert any(s.label == label and s.similarity == 1.0 for s in got[100 * t + i].spans)
+        assert sum(s.label == label for s in got[100 * t + 3].spans) >= 2
