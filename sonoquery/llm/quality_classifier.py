@@ -7,14 +7,16 @@ labelled 0) by the logistic loss on feature differences, so that
 are put on 0 to 1 by a logistic curve fitted on the same rows, and documents can
 be thresholded at a quantile of the scores of all documents.
 
-Only the fit uses a sample: at most ``MAX_LABELLED`` labelled rows, the ones
-with the smallest hash of their id; their ids are broadcast and their feature
-vectors (``4 * DIMENSIONS`` bytes each) come to the driver, about 14 MB.
+Only the fit uses a sample: at most ``MAX_LABELLED`` labelled ids, the ones
+with the smallest hash, and one text for each (of an id that is repeated, the one of smallest hash); the ids are
+broadcast and the feature vectors (``4 * DIMENSIONS`` bytes each) come to the driver, about 14 MB.
 
 Defined results: a null text counts as empty, and empty texts get the score of
 their (zero) features.  Labels with a null id or quality are left out; an id
 with contradicting labels counts as 0.  Without rows of both labels every score
 is 0.5.  Equal texts have equal scores; an empty table gives an empty result.
+Texts of any length are read whole, beyond a slice's size one at a time.  Columns of the input may have any name; that of
+the score gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -139,6 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return by_slices(texts, lambda part: pa.array([r.tobytes() for r in features(part)], pa.binary()), pa.binary())
 
     chosen = small_batches(docs).select(named(docs, key).alias("_id"), named(docs, text).cast("string").alias("_text")).join(F.broadcast(rows), "_id")
+    # one text for each id, so that ids which most rows repeat don't bring more to the driver
+    chosen = chosen.groupBy("_id").agg(F.first("_y").alias("_y"), F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
     got = chosen.select("_id", "_y", F.arrow_udf(work, "binary")("_text").alias("_x")).toArrow().sort_by([("_id", "ascending")])
     x = np.frombuffer(b"".join(got["_x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     return learn(x, got["_y"].to_numpy())

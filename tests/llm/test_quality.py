@@ -104,3 +104,17 @@ def test_classifier_odd_rows(spark):
 
 def test_held_out_of_null(spark):
     assert spark.createDataFrame([(None,)], "i long").select(quality_classifier.held_out(F.col("i"))).first()[0] is False
+
+
+def test_repeated_ids_bring_one_row_to_the_driver(spark, monkeypatch):
+    """Of an id that most documents have, one text is learned from, whatever the order of rows."""
+    from sonoquery.llm import quality_classifier as classifier
+
+    docs = spark.range(3000).select(F.when(F.col("id") < 2900, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words here "), F.col("id").cast("string"), F.lit(" and more of them")).alias("text"))
+    labels = docs.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    real = classifier.learn
+    monkeypatch.setattr(classifier, "learn", lambda x, y, **k: seen.append((x.copy(), np.array(y))) or real(x, y, **k))
+    for parts in (1, 7):
+        classifier.fit(docs.repartition(parts), labels)
+    assert len(seen[0][1]) == 101 and (seen[0][0] == seen[1][0]).all() and (seen[0][1] == seen[1][1]).all()
