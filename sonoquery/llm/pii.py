@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import free_name, named
@@ -132,14 +132,14 @@ def _block(s: Column, key: Column, tweak: Column, hexadecimal: bool, back: bool)
 def permuted(s: Column, key: Column, kind: str, hexadecimal: bool = False, back: bool = False) -> Column:
     """ASCII text with its letters and digits permuted within their classes, block after block.
 
-    The tweak of a block has the length and the enciphered blocks before it.
+    The tweak of a block has the length and the enciphered blocks before it, in lower case, so that names which differ in case only stay linked.
     """
     starts = F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(BLOCK))
 
     def step(done: Column, at: Column) -> Column:
         part = F.substring(s, at, F.lit(BLOCK))
         before = F.substring(s, F.lit(1), at - 1) if back else done
-        return F.concat(done, _block(part, key, F.concat_ws("|", F.lit(kind), F.length(s).cast("string"), before), hexadecimal, back))
+        return F.concat(done, _block(part, key, F.concat_ws("|", F.lit(kind), F.length(s).cast("string"), F.lower(before)), hexadecimal, back))
 
     return F.when(F.length(s) > 0, F.aggregate(starts, F.lit(""), step)).otherwise(s)
 
@@ -250,9 +250,10 @@ def replacement(m: Column, key: Column, back: bool = False) -> Column:
     return chain
 
 
-def _schedule(key: str) -> str:
-    """What the rounds use of a key: a digest, so that the key itself is in no plan or log."""
-    return hashlib.sha256(b"feistel key|" + key.encode()).hexdigest()
+def _schedule(spark: SparkSession, key: str) -> Column:
+    """What the rounds use of a key, a digest, as a scalar that is read when the query runs: a plan names the row that holds it, not its value."""
+    held = spark.sparkContext.parallelize([(hashlib.sha256(b"feistel key|" + key.encode()).hexdigest(),)], 1)
+    return spark.createDataFrame(held, "schedule string").scalar()
 
 
 def pseudonyms(docs: DataFrame, key: str, text: str = "text", out: str = "pii", back: bool = False) -> DataFrame:
@@ -262,9 +263,10 @@ def pseudonyms(docs: DataFrame, key: str, text: str = "text", out: str = "pii",
     # texts without a digit or an @ have nothing that the patterns could match
     likely = whole.rlike("[0-9@]|[a-fA-F]{32}")
     step = F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))
-    made = F.transform(step, lambda m: F.struct(m.alias("was"), replacement(m, F.lit(_schedule(key)), back).alias("r")))
+    secret = free_name(docs, "_schedule")
+    made = F.transform(step, lambda m: F.struct(m.alias("was"), replacement(m, F.col(secret), back).alias("r")))
     made = F.transform(made, lambda x: F.struct(x["was"].alias("was"), x["r"]["kind"].alias("kind"), x["r"]["new"].alias("new")))
-    rows = docs.withColumn(found, F.when(likely, made).otherwise(none))
+    rows = docs.withColumn(secret, _schedule(docs.sparkSession, key)).withColumn(found, F.when(likely, made).otherwise(none)).drop(secret)
     between = F.split(whole, ANY, -1)
     texts = F.zip_with(between, F.col(found), lambda a, x: F.concat(a, F.coalesce(x["new"], x["was"], F.lit(""))))
     finds = F.filter(F.col(found), lambda x: x["new"].isNotNull())

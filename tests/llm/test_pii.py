@@ -116,15 +116,28 @@ def test_long_texts_take_linear_time(spark):
 
 
 def test_the_key_is_in_no_plan(spark, capsys):
-    pii.pseudonyms(spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string"), "very secret").explain("extended")
-    assert "very secret" not in capsys.readouterr().out
+    df = pii.pseudonyms(spark.createDataFrame([(1, "a@b.com 123-45-6789")], "doc_id long, text string"), "very secret")
+    df.explain("extended")
+    shown = capsys.readouterr().out
+    got = df.first().pii.text
+    df.explain("formatted")  # as it ran
+    shown += capsys.readouterr().out
+    digest = hashlib.sha256(b"feistel key|very secret").hexdigest()
+    assert "scalar-subquery" in shown and "very secret" not in shown and digest not in shown
+    assert got != "a@b.com 123-45-6789" and pii.reveal(spark.createDataFrame([(1, got)], "doc_id long, text string"), "very secret").first().pii.text == "a@b.com 123-45-6789"
+
+
+def test_long_names_are_linked_whatever_their_case(spark):
+    names = ["John.Smithson-Longname.And.More", "john.smithson-longname.and.more", "JOHN.SMITHSON-LONGNAME.AND.MORE"]
+    got = [r.text.split("@")[0] for r in run(spark, [f"{n}@b.com" for n in names])]
+    assert len({x.lower() for x in got}) == 1 and got[0].lower() != names[1] and len(set(got)) == 3
 
 
 class Plain:
     """The pseudonyms of a text, step by step."""
 
     def __init__(self, key):
-        self.key = pii._schedule(key)
+        self.key = hashlib.sha256(b"feistel key|" + key.encode()).hexdigest()
         self.any = re.compile(pii.ANY)
 
     def feistel(self, x, a, b, tweak):
@@ -143,7 +156,7 @@ class Plain:
             for c, pool in zip(part, pools, strict=True):
                 x = x * len(pool) + pool.index(c)
             h = len(part) // 2
-            y = self.feistel(x, math.prod(map(len, pools[:h])), math.prod(map(len, pools[h:])), f"{kind}|{len(s)}|{out}")
+            y = self.feistel(x, math.prod(map(len, pools[:h])), math.prod(map(len, pools[h:])), f"{kind}|{len(s)}|{out.lower()}")
             made = ""
             for pool in reversed(pools):
                 y, v = divmod(y, len(pool))
