@@ -157,12 +157,27 @@ READ_DDL = "path string, offset bigint, length bigint, type string, page string,
 _SIZE = re.compile(rb"(?im)^Content-Length:[ \t]*([0-9]{1,15})[ \t]*\r?$")
 _PAGE = re.compile(r"^<urn:page:(.*)>$")
 _NEXT = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
+_AGAIN, _BLANK = re.compile(rb"\nWARC/[0-9]\.[0-9]\r\n"), re.compile(rb"\r\n\r\n")
+#: Bytes of a record's head, at most.
+HEAD_BYTES = 1 << 16
 
 
-def _head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
-    """Fields of the record at a place, where its body begins and where the record ends; None if none is whole there."""
-    end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
-    size = _SIZE.search(data, at, end) if end >= 0 else None
+class _Places:
+    """The next place of a pattern from a place on; what was found stays known until it is passed, so a file is searched once."""
+
+    def __init__(self, data: bytes, pattern: re.Pattern):
+        self.data, self.pattern, self.at = data, pattern, -1
+
+    def after(self, at: int) -> int:
+        if self.at < at:
+            found = self.pattern.search(self.data, at)
+            self.at = found.start() if found else len(self.data)
+        return self.at
+
+
+def _head(data: bytes, at: int, end: int) -> tuple[dict[bytes, bytes], int, int] | None:
+    """Fields of the record at a place, where its body begins and where the record ends; None if none is whole there.  ``end`` is the next blank line."""
+    size = _SIZE.search(data, at, end)
     if size is None:
         return None
     stop = end + 4 + int(size[1]) + 4
@@ -178,14 +193,19 @@ def _head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
 def parsed(data: bytes, base: int = 0) -> Iterator[dict]:
     """Records of an uncompressed WARC file, in order.
 
-    What isn't a whole record (bytes that don't begin one, a head without a length, a body
+    What isn't a whole record (bytes that don't begin one, a head without a length or of more than ``HEAD_BYTES``, a body
     that doesn't end where it should) is a range with ``damaged`` set, up to the next place that
     begins a record; all records behind it are found.  ``digest`` is of all bytes of
-    the record or range.
+    the record or range.  The time grows with the length, whatever the bytes.
     """
-    at = 0
+    at, blank, again = 0, _Places(data, _BLANK), _Places(data, _AGAIN)
     while at < len(data):
-        head = _head(data, at)
+        head = None
+        if data.startswith(b"WARC/", at):
+            end = blank.after(at)
+            # a line within a head has a colon, so the next first line of a record stands behind it
+            if end < len(data) and end - at <= HEAD_BYTES and again.after(at) > end - 2:
+                head = _head(data, at, end)
         if head is None:
             found = _NEXT.search(data, at + 1)
             stop = found.start() if found else len(data)
@@ -199,28 +219,40 @@ def parsed(data: bytes, base: int = 0) -> Iterator[dict]:
 
 
 def unzipped(data: bytes) -> Iterator[tuple[bytes, bool]]:
-    """Members of a gzip file; bytes that don't unpack come as they are, with True, up to the next member."""
+    """Members of a gzip file.
+
+    Of a member that breaks comes what unpacks before (which its check sum doesn't vouch for), and then the bytes from there to the
+    next member as they are, with True.
+    """
     at, view = 0, memoryview(data)
     while at < len(data):
         unpack, parts, stop = zlib.decompressobj(31), [], at
         try:
             while not unpack.eof and stop < len(data):
+                before = unpack.copy()
                 parts.append(unpack.decompress(view[stop : stop + (1 << 16)]))
                 stop = min(len(data), stop + (1 << 16))
         except zlib.error:
-            pass
+            try:  # the stretch that breaks once more, byte by byte
+                for stop in range(stop, min(len(data), stop + (1 << 16))):
+                    parts.append(before.decompress(view[stop : stop + 1]))
+            except zlib.error:
+                pass
         if unpack.eof:
             yield b"".join(parts), False
             at = stop - len(unpack.unused_data)
         else:
-            found = data.find(b"\x1f\x8b\x08", at + 1)
-            stop = found if found >= 0 else len(data)
-            yield data[at:stop], True
-            at = stop
+            if any(parts):
+                yield b"".join(parts), False
+            found = data.find(b"\x1f\x8b\x08", max(at + 1, stop))
+            end = found if found >= 0 else len(data)
+            yield data[stop if any(parts) else at : end], True  # empty where a member only lacks its end
+            at = end
 
 
-def _records(data: bytes) -> Iterator[dict]:
-    if not data.startswith(b"\x1f\x8b"):
+def _records(data: bytes, name: str = "") -> Iterator[dict]:
+    """Records of a file, which is a gzip file if it begins like one or is named so."""
+    if not data.startswith(b"\x1f\x8b") and not name.endswith(".gz"):
         yield from parsed(data)
         return
     base = 0
@@ -237,7 +269,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows, size = [], 0
-            for record in _records(content.as_py()):
+            for record in _records(content.as_py(), path):
                 rows.append({"path": path, **record})
                 size += record["length"]
                 if size > SLICE_BYTES:
@@ -250,8 +282,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files below ``path`` (``.warc``, ``.warc.gz`` and what :func:`write` makes).
 
     Columns: ``path``, ``offset``, ``length``, ``type``, ``page``, ``url``, ``body``, the record's ``digest`` and ``damaged``
-    (:func:`parsed`).  Places in a ``.gz`` file are those of the unpacked members, a damaged
-    one counting as it is.  A file is read by one task, at most 2 GB; records leave it slice by slice.
+    (:func:`parsed`).  Places in a ``.gz`` file are those of the unpacked members, of a damaged
+    one what unpacks and then its bytes as they are.  A file is read by one task, at most 2 GB; records leave it slice by slice.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,warc,gz}").load(path)
     return files.select("path", "content").mapInArrow(_read, READ_DDL)

@@ -1,6 +1,8 @@
 """WARC round trip and fixity audits."""
 
 import gzip
+import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -100,3 +102,41 @@ def test_read_plain_and_gzip(spark, tmp_path):
     assert [(r.offset, r.digest, r.type) for r in of["a.warc"]] == [(r.offset, r.digest, r.type) for r in of["b.warc.gz"]] and len(of["a.warc"]) == 60
     assert {r.page for r in of["c.warc.gz"] if not r.damaged} == {f"<urn:uuid:{i}>" for i in range(60) if i != 7}
     assert any(r.damaged for r in of["c.warc.gz"])
+
+
+def _some_records(n, size=3000):
+    rng = random.Random(n)
+    return [f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {size}\r\n\r\n".encode() + rng.randbytes(size) + b"\r\n\r\n" for i in range(n)]
+
+
+def test_damaged_first_byte_of_a_gzip_file(spark, tmp_path):
+    members = [gzip.compress(r) for r in _some_records(5)]
+    data = bytearray(b"".join(members))
+    data[0] ^= 0xFF
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    got = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r.page for r in got if not r.damaged) == ["1", "2", "3", "4"] and sum(r.damaged for r in got) == 1
+
+
+def test_one_damaged_member_for_a_whole_file():
+    """What unpacks before the damage is kept."""
+    records = _some_records(40)
+    data = bytearray(gzip.compress(b"".join(records)))
+    data[len(data) * 3 // 4] ^= 0x10
+    got = [r for r in warc._records(bytes(data), "x.warc.gz")]
+    whole = [r["page"] for r in got if not r["damaged"]]
+    assert whole[:25] == [str(i) for i in range(25)] and any(r["damaged"] for r in got)
+    cut_off = [r for r in warc._records(bytes(data[: len(data) // 2]), "x.warc.gz")]
+    assert [r["page"] for r in cut_off if not r["damaged"]][:18] == [str(i) for i in range(18)] and cut_off[-1]["damaged"]
+    behind = [r for r in warc._records(bytes(data) + gzip.compress(records[0]), "x")]
+    assert behind[-1]["page"] == "0" and not behind[-1]["damaged"]
+
+
+def test_heads_take_linear_time():
+    for data in (b"WARC/1.0\r\n" * 400_000, b"WARC/1.0\r\nA: b\r\n" * 250_000 + b"\r\n", (b"WARC/1.0\r\n" * 5000 + b"\r\n") * 80, b"WARC/1.0\r\n\r\n" * 300_000):
+        began = time.time()
+        assert sum(r["length"] for r in warc.parsed(data)) == len(data)
+        assert time.time() - began < 12
+    # a field that ends like a record's first line is still a field
+    odd = b"WARC/1.0\r\nSoftware: WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    assert [r["damaged"] for r in warc.parsed(odd * 3)] == [False] * 3
