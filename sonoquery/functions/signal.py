@@ -158,30 +158,75 @@ def c50_db(rir: Column, direct: Column, sr) -> Column:
     return F.when((early <= 0) | (late <= 0), _nan()).otherwise(F.log10(early / late) * 10)
 
 
-def decay_curve(rir: Column, direct: Column) -> Column:
-    """Energy from each sample on, from the direct sound, in dB of the whole."""
-    tail = F.reverse(F.slice(rir, direct + 1, F.size(rir)))
-    # prefix sums by merging a pair (sum so far, sums) over the reversed tail
+def sums_from(values: Column) -> Column:
+    """Sum of each element and those behind it.  The array is copied at each step: for short ones."""
+    # prefix sums by merging a pair (sum so far, sums) over the reversed array
     start = F.struct(F.lit(0.0).alias("s"), F.expr("cast(array() as array<double>)").alias("all"))
-    sums = F.aggregate(tail, start, lambda t, x: F.struct((t["s"] + x * x).alias("s"), F.array_append(t["all"], t["s"] + x * x).alias("all")), lambda t: F.reverse(t["all"]))
-    return sums
+    return F.aggregate(F.reverse(values), start, lambda t, x: F.struct((t["s"] + x).alias("s"), F.array_append(t["all"], t["s"] + x).alias("all")), lambda t: F.reverse(t["all"]))
+
+
+def decay_curve(rir: Column, direct: Column) -> Column:
+    """Energy from each sample on, from the direct sound; for short responses."""
+    return sums_from(F.transform(F.slice(rir, direct + 1, F.size(rir)), lambda x: x * x))
+
+
+def _below(sums: Column, whole: Column, db: float) -> Column:
+    """Place (from 1) of the first of ``sums`` that is ``db`` or less in dB of ``whole``; 0 if none is."""
+    return F.array_position(F.transform(sums, lambda s: F.log10(F.greatest(s / whole, F.lit(1e-20))) * 10 <= db), True)
 
 
 def t30_s(sums: Column, sr) -> Column:
     """Twice the time between the first fall to -5 dB and to -35 dB of a decay (energies of :func:`decay_curve`)."""
-    whole = F.get(sums, F.lit(0))
 
-    def first_below(db: float) -> Column:
-        curve = F.transform(sums, lambda s: F.log10(F.greatest(s / whole, F.lit(1e-20))) * 10 <= db)
-        return F.array_position(curve, True)
+    def of(sums: Column, whole: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            return F.when((start == 0) | (end == 0), _nan()).otherwise(((end - start) * 2 / _column(sr)).cast("double"))
+
+        return bound(_below(sums, whole, -5.0), lambda start: bound(_below(sums, whole, -35.0), lambda end: between(start, end)))
+
+    return bound(sums, lambda s: bound(F.get(s, F.lit(0)), lambda whole: F.when((F.size(s) == 0) | (whole <= 0), _nan()).otherwise(of(s, whole))))
+
+
+#: Samples of a block of :func:`t30_blocks`.
+BLOCK = 128
+
+
+def t30_blocks(rir: Column, direct: Column, sr) -> Column:
+    """:func:`t30_s` of a long response, by sums of two levels: of blocks, and within the block where a level is crossed.
+
+    Energies from a sample on never rise, so the first one below a level stands in the block before the first block that begins
+    below it.  Every sample is read once and two blocks a second time; only arrays of the blocks' size or number are copied.
+    """
+
+    def crossing(tail: Column, ends: Column, whole: Column, db: float) -> Column:
+        """Number of the first sample below ``db``, null if none is."""
+
+        def inside(k: Column) -> Column:  # k: first block that begins below the level, from 1; none: behind the last
+            first = (k - 2) * BLOCK
+            rest = F.coalesce(F.get(ends, (k - 1).cast("int")), F.lit(0.0))
+            own = F.transform(sums_from(F.transform(F.slice(tail, (first + 1).cast("int"), F.lit(BLOCK)), lambda x: x * x)), lambda s: s + rest)
+            at = bound(_below(own, whole, db), lambda j: F.when(j > 0, first + j - 1).when(k <= F.size(ends), first + BLOCK))
+            return F.when(k < 2, 0).otherwise(at)
+
+        return bound(_below(ends, whole, db), lambda k: bound(F.when(k == 0, F.size(ends) + 1).otherwise(k), inside))
+
+    def of(tail: Column, ends: Column) -> Column:
+        def time(whole: Column) -> Column:
+            start, end = crossing(tail, ends, whole, -5.0), crossing(tail, ends, whole, -35.0)
+            return F.when(whole <= 0, _nan()).otherwise(F.coalesce(((end - start) * 2 / _column(sr)).cast("double"), _nan()))
+
+        return bound(F.get(ends, F.lit(0)), time)
+
+    def blocks(tail: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(tail) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda i: energy(F.slice(tail, i * BLOCK + 1, F.lit(BLOCK))))
 
-    start, end = first_below(-5.0), first_below(-35.0)
-    time = (end - start) * 2 / _column(sr)
-    return F.when((F.size(sums) == 0) | (whole <= 0), _nan()).when((start == 0) | (end == 0), _nan()).otherwise(time.cast("double"))
+    tail = F.slice(rir, direct + 1, F.size(rir))
+    return bound(tail, lambda t: F.when(F.size(t) == 0, _nan()).otherwise(bound(sums_from(blocks(t)), lambda ends: of(t, ends))))
 
 
 def t30_table(df: DataFrame, key: str, rir: str, direct: str, sr: int) -> DataFrame:
-    """(key, t30) by running sums over exploded samples: for long responses, which :func:`decay_curve` would copy at each step."""
+    """(key, t30) by running sums over exploded samples: the definition as a window; :func:`t30_blocks` gives the same without a row for each sample."""
     tail = df.select(key, F.posexplode(F.slice(rir, F.col(direct) + 1, F.size(rir))).alias("pos", "x"))
     left = Window.partitionBy(key).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     sums = tail.withColumn("s", F.sum(F.col("x") * F.col("x")).over(left))

@@ -56,7 +56,7 @@ def rir_t30(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses that fall off; the first half of the rooms falls too slowly for a value."""
     slope = F.when(F.col("id") % 5 == 0, 60.0).otherwise(3.0)
     df = waves(spark, sf_dir).withColumn("a", F.transform("a", lambda x, i: x * F.exp(-i / slope)))
-    df = signal.t30_table(df.withColumn("direct", F.lit(0)), "id", "a", "direct", SR)
+    df = df.select("id", signal.t30_blocks(F.col("a"), F.lit(0), SR).alias("t30"))
     return df.select("id", F.round(F.nanvl("t30", F.lit(None).cast("double")), 6).alias("t30"))
 
 

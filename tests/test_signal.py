@@ -1,6 +1,7 @@
 """Array expressions against the numpy kernels, and hand-computable vectors."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -110,3 +111,26 @@ def test_wav():
         assert rate == SR and np.abs(back - wave).max() < gap and dsp.wav_seconds(data) == 1.001
     with pytest.raises(ValueError):
         dsp.wav_read(b"nothing")
+
+
+def test_reverberation_of_long_responses(spark):
+    """Two-level sums against the definition and the window, for decays that cross in the first, a middle, the last or no block."""
+    rng = np.random.default_rng(8)
+    arrays = [rng.standard_normal(n) * np.exp(-np.arange(n) / slope) for n in (1, 127, 128, 129, 1000, 16_000) for slope in (5.0, 60.0, 900.0, 1e9)]
+    arrays += [np.zeros(300), np.r_[np.zeros(500), 1.0], np.r_[1.0, np.zeros(500)], np.r_[np.ones(128), np.zeros(128), np.full(10, 1e-3)]]
+    df = spark.createDataFrame([(i, a.tolist(), i % 3) for i, a in enumerate(arrays)], "i int, a array<double>, at int").where("size(a) > at")
+    kept = [(i, a) for i, a in enumerate(arrays) if len(a) > i % 3]
+    got = [r[0] for r in df.orderBy("i").select(signal.t30_blocks(F.col("a"), F.col("at"), SR)).collect()]
+    np.testing.assert_allclose(got, [dsp.t30_s(a, i % 3, SR) for i, a in kept], rtol=1e-9)
+    np.testing.assert_allclose(got, [r.t30 for r in signal.t30_table(df, "i", "a", "at", SR).orderBy("i").collect()], rtol=1e-9)
+    assert math.isnan(spark.range(1).select(signal.t30_blocks(F.expr("cast(array() as array<double>)"), F.lit(0), SR)).first()[0])
+
+
+def test_a_thousand_long_responses_in_seconds(spark):
+    wave = F.transform(F.sequence(F.lit(0), F.lit(15_999)), lambda i: F.sin(i * 0.7 + F.col("id")) * F.exp(-i / 1500.0))
+    df = spark.range(1000, numPartitions=4).select("id", wave.alias("a"))
+    began = time.time()
+    # a curve that isn't a column is made once for a row, not once for each sample
+    assert df.where("id < 4").select(signal.t30_s(signal.decay_curve(F.slice("a", 1, 1000), F.lit(0)), SR).alias("t")).where("t > 0 or isnan(t)").count() == 4
+    assert df.select(signal.t30_blocks(F.col("a"), F.lit(0), SR).alias("t")).where("t > 0").count() == 1000
+    assert time.time() - began < 60
