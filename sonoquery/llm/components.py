@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, drop_cut
+from .frames import cut, drop_cut, spread
 
 
 #: Tasks that the edges of one hub are dealt to, at least.
@@ -14,7 +14,8 @@ SALTS = 8
 
 def _least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with the least of u and its neighbours; a hub's rows are combined before the shuffle and dealt to several tasks for the join."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"), F.explode(F.lit(list(range(SALTS)))).alias("_salt"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+    least = spread(least, SALTS, "_salt")
     return edges.join(least, (F.col("u") == F.col("_u")) & (F.pmod(F.hash("v"), F.lit(SALTS)) == F.col("_salt"))).select("u", "v", "m")
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +70,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Settings while an intermediate table is written.  Its shuffle files go when it stands, not when the driver
+#: happens to collect garbage.  Files of compressed rows count as four times their bytes, so that the threshold of
+#: broadcasts is held against about what the rows take in memory.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.sources.fileCompressionFactor": "4.0",
+}
+
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The settings ``wanted`` within the block; those that were set before stay."""
+    new = [k for k in wanted if spark.conf.get(k, None) is None]
+    for k in new:
+        spark.conf.set(k, wanted[k])
+    try:
+        yield
+    finally:
+        for k in new:
+            spark.conf.unset(k)
+
+
 def cut(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: short lineage that survives lost executors.
 
@@ -74,8 +101,37 @@ def cut(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sonoquery-{uuid.uuid4().hex}"
-    (df.write.option("parquet.block.size", str(row_group)) if row_group else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _settings(spark, WRITING):
+        (df.write.option("parquet.block.size", str(row_group)) if row_group else df.write).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    if (written := _written.get()) is not None:
+        written.append(done)
+    return done
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that :func:`cut` writes within the block; they are deleted at its end, but for those taken out of the list."""
+    written: list[DataFrame] = []
+    before = _written.set(written)
+    try:
+        yield written
+    finally:
+        _written.reset(before)
+        for df in written:
+            drop_cut(df)
+
+
+def spread(df: DataFrame, salts: int, name: str = "salt") -> DataFrame:
+    """``df`` once for each of the numbers 0 .. ``salts`` - 1 in the column ``name``, for joins to rows dealt by salt.
+
+    Spark's size estimate counts these rows (it doesn't count those of ``explode``), so what is broadcast is within the threshold
+    with its copies.
+    """
+    numbers = [free_name(df, f"_{name}{i}") for i in range(salts)]
+    rows = df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(numbers)))
+    of = free_name(df, f"_of_{name}")
+    return rows.unpivot(df.columns, numbers, of, name).drop(of)
 
 
 def drop_cut(df: DataFrame) -> None:

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, free_name, plain, restored, small_batches
+from .frames import cut, free_name, plain, restored, small_batches, spread
 from .words import by_slices, coded, grams, hash_strings, mix, slices, trim
 
 DIVISOR = 3
@@ -171,9 +171,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "
 
     marks = cut(rows.select("_a", "_b", F.posexplode(hashes(whole)).alias("_n", "_hash")).where("_hash is not null"))
     # the rows of a frequent hash are dealt to several tasks
-    again = marks.groupBy("_hash").agg(F.count("*").alias("_times")).where("_times > 1").select("_hash", F.explode(F.lit(list(range(SALTS)))).alias("_salt"))
+    again = marks.groupBy("_hash").agg(F.count("*").alias("_times")).where("_times > 1").select("_hash")
     marks = marks.withColumn("_salt", F.pmod(F.col("_b") + F.col("_n"), F.lit(SALTS)))
-    repeated = marks.join(again, ["_hash", "_salt"], "left_semi").groupBy("_a", "_b").agg(F.sort_array(F.collect_set("_n")).alias("_repeated"))
+    repeated = marks.join(spread(again, SALTS, "_salt"), ["_hash", "_salt"], "left_semi").groupBy("_a", "_b").agg(F.sort_array(F.collect_set("_n")).alias("_repeated"))
     met = rows.join(repeated.hint("shuffle_hash"), ["_a", "_b"], "left")
 
     read = F.arrow_udf(lambda texts, numbers: _bytes(texts, numbers, passages), "array<struct<n:int,window:boolean,chunk:string>>")

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, drop_cut, named, small_batches
+from .frames import cut, drop_cut, named, small_batches, spread
 from .words import by_slices, coded, grams, hash_strings, mix, starts, trim, words_of
 
 K = 48
@@ -154,7 +154,7 @@ def _unpacked(sets: pa.Array) -> pa.Array:
 
 def _spread(df: DataFrame) -> DataFrame:
     """``df`` once for each salt, for joins to rows of one key that are dealt by :func:`_salt`."""
-    return df.withColumn("salt", F.explode(F.lit(list(range(SALTS)))))
+    return spread(df, SALTS)
 
 
 def _salt() -> Column:
