@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoquery.llm import bpe, line_dedup, minhash, mixing, quality_rules
-from sonoquery.llm.frames import cut, free_name, table
+from sonoquery.llm.frames import cut, free_name, scratch, table
 from sonoquery.llm.queries import vocabulary
 
 
@@ -29,13 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts, and with them documents that have no word left."""
+    """Repeated chunks and passages of lines go from the texts, and with them documents that have no word left."""
     at = free_name(docs, "lines")
-    rows = line_dedup.dedup(docs, out=at)
-    rows = rows.where((F.col(at)["n_removed"] == 0) | F.col(at)["text"].rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": F.col(at)["text"]}
+    rows = line_dedup.dedup(docs, out=at, passages=True)
+    text, removed = F.col(at)["unrepeated"], F.col(at)["n_repeated"]
+    rows = rows.where((removed == 0) | text.rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col(at)["n_removed"] > 0, F.char_length(F.col(at)["text"]).cast("long")).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(removed > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
     return rows.withColumns(changed).drop(at)
 
 
@@ -79,5 +80,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        # what a stage wrote on its way goes when its result stands
+        with scratch() as written:
+            docs = cut(stage(spark, docs, sf_dir))
+            written.remove(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

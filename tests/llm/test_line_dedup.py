@@ -91,6 +91,30 @@ def test_planted_passages(spark):
     assert 3 * sum(got[d].n_removed > 0 for d, _, n in planted if n >= 4) >= 2 * sum(n >= 4 for _, _, n in planted)  # by chunks
 
 
+def brute_passages(docs):
+    """docs: (key, text) in order.  Lines left of each, and how many go, by chunks as in :func:`brute` and by runs of two lines with a word, compared as strings."""
+    chunks_seen, runs_seen, out = set(), set(), []
+    for _, text in docs:
+        (lines,), (ends,), _, _ = line_dedup.chunks(pa.array([text]))
+        worded = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        chunks = [(a, b, chunks_seen) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False) if sum(a <= i < b for i in worded) >= line_dedup.MIN_LINES]
+        gone = set()
+        for a, b, seen in [*chunks, *((a, b + 1, runs_seen) for a, b in zip(worded, worded[1:], strict=False))]:
+            part = "\n".join(lines[a:b])
+            gone |= set(range(a, b)) if part in seen else set()
+            seen.add(part)
+        out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_passages_of_a_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    docs = sorted((r.doc_id, r.text) for r in df.collect())
+    got = {r.doc_id: (r["lines"].unrepeated, r["lines"].n_repeated) for r in line_dedup.dedup(df, passages=True).collect()}
+    assert [got[i] for i, _ in docs] == brute_passages(docs)
+    assert sum(x[1] for x in got.values()) > 0
+
+
 def test_passages_odd_rows(spark):
     texts = ["a b\n\nc d\nx", "y\na b\n\nc d", "a b\n\n\nc d", "c d\nx\nonly", "one line\n", "\none line", None, "", "r\nr\nr", "\n\n"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

@@ -1,6 +1,7 @@
 """Stages of the pipeline against brute-force versions, each on its own input."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 
@@ -11,9 +12,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from sonoquery.llm import mixing, quality_rules
+from sonoquery.llm.frames import shared_dir
 from sonoquery.llm.queries import vocabulary
 
-from .test_line_dedup import brute as brute_lines
+from .test_line_dedup import brute_passages
 from .test_minhash import brute as brute_near
 
 DIR = "/root/testdata/sf0.001"
@@ -54,13 +56,29 @@ def test_quality(spark, steps):
 def test_lines(steps):
     before, after = texts(steps[1]), texts(steps[2])
     wanted = {}
-    for (i, text), (new, _, removed) in zip(sorted(before.items()), brute_lines(sorted(before.items())), strict=True):
+    for (i, _), (new, removed) in zip(sorted(before.items()), brute_passages(sorted(before.items())), strict=True):
         if not removed or new.strip():
             wanted[i] = new
     assert after == wanted
     assert all(r.n_chars == len(r.text) for r in steps[2].collect())
 
 
+def test_lines_planted(spark):
+    """Passages of 2 to 6 lines, over 50 words each, in texts that differ around them: the second copies go, all else stays."""
+    rng = np.random.default_rng(5)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(10**6, size=30))
+    rows, wanted = [], {}
+    for i in range(40):
+        passage = [line() for _ in range(2 + i % 5)]
+        for copy in range(2):
+            head, tail = ([line() for _ in range(rng.integers(1, 9))] for _ in range(2))
+            text = "\n".join([*head, *passage, *tail])
+            rows.append((2 * i + copy, text, "en", "s", len(text)))
+            wanted[2 * i + copy] = "\n".join([*head, *passage * (1 - copy), *tail])
+    got = pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), DIR)
+    assert texts(got) == wanted and all(r.n_chars == len(r.text) for r in got.collect())
+
+
 def test_near_duplicates(steps):
     before, after = texts(steps[2]), texts(steps[3])
     root, _ = brute_near(before, 5, 80)
@@ -105,7 +123,11 @@ def test_bpe(steps):
 
 
 def test_run_and_odd_rows(spark, steps, tmp_path):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
     assert pipeline.run(spark, DIR).count() == steps[5].count()
+    new = [x for x in set(os.listdir(folder)) - before if x.startswith("sonoquery-")]
+    assert len(new) <= len(pipeline.STAGES), new  # results of stages, and nothing written on their way
     base = steps[0].limit(30)
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "some words that stand here more than ten of them in a row", None, None, None), (None, "", "en", "s", 0), (7, None, "en", None, 3)], base.schema)
     for rows in (base.unionByName(odd).unionByName(odd), base.where("false")):
