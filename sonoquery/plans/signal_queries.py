@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal
+from ..operators import blocks
 from .scoring_queries import rounded, table
 
 SR = 1000
@@ -129,6 +130,19 @@ def convolve_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(df.select("id", signal.convolved(F.col("x"), F.col("h")).alias("a")))
 
 
+#: Vectors that make a clip and a response of ``convolve_blocks``, and samples of each.
+CLIP, TAIL, VECTOR = 8, 2, 64
+
+
+def convolve_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of eight vectors with responses of two (the first of the next clip), block by block; no clip is ever put together."""
+    v = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(v / CLIP).alias("id"), (v % CLIP).cast("int").alias("block"), F.col("embedding").cast("array<double>").alias("samples"))
+    responses = rows.where(F.col("block") < TAIL).withColumn("id", F.col("id") - 1)
+    done = blocks.convolved(rows, responses, "id", VECTOR)
+    return shown(done.withColumnRenamed("block", "part"), "samples", 5)
+
+
 def scene_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waveforms of which some are empty, hold NaN, or hold infinity."""
     kind = F.col("id") % 4
@@ -136,7 +150,7 @@ def scene_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves(spark, sf_dir).withColumn("a", bad).select("id", signal.sound_item(F.col("a")).alias("valid"))
 
 
-ALL = (rir_direct_index, rir_drr, rir_trim, rir_c50, rir_t30, signal_rms, signal_normalize, signal_loop, active_frames, snr_db, gain_for_snr, peak_guard, source_distance, convolve_direct, scene_contract)
+ALL = (rir_direct_index, rir_drr, rir_trim, rir_c50, rir_t30, signal_rms, signal_normalize, signal_loop, active_frames, snr_db, gain_for_snr, peak_guard, source_distance, convolve_direct, convolve_blocks, scene_contract)
 QUERIES = {f.__name__: f for f in ALL}
 SQL = {
     "rir_direct_index": f"WITH {DIRECT} SELECT id, direct::BIGINT AS direct FROM heard",
@@ -164,5 +178,8 @@ SELECT id, round(peak, 6) AS peak, round(CASE WHEN peak > 0.99 THEN 0.99 / peak
     "source_distance": f"WITH {WAVES} SELECT id, round(sqrt(list_sum(list_transform(range(1, 33), lambda i: (a[i] - a[i + 32]) * (a[i] - a[i + 32])))), 6) AS distance FROM waves",
     "convolve_direct": f"""WITH {PAIRS}, c AS (SELECT id, list_transform(range(0, 127), lambda k: list_sum(list_transform(range(0, 64), lambda i: CASE WHEN k - i >= 0 AND k - i < 64 THEN speech[i + 1] * noise[k - i + 1] ELSE 0.0 END))) AS b FROM pairs)
 SELECT id, len(b) AS n, {MOMENT.format('b')} AS moment FROM c""",
+    "convolve_blocks": f"""WITH v AS (SELECT vec_id // {CLIP} AS id, vec_id % {CLIP} AS block, p, embedding[p + 1]::DOUBLE AS a FROM embeddings, range(0, {VECTOR}) r(p)),
+y AS (SELECT x.id, x.block * {VECTOR} + x.p + h.block * {VECTOR} + h.p AS k, sum(x.a * h.a) AS y FROM v x JOIN v h ON h.id = x.id + 1 AND h.block < {TAIL} GROUP BY 1, 2)
+SELECT id, (k // {VECTOR})::INTEGER AS part, count(*) AS n, round(sum(y * (k % {VECTOR} + 1)), 5) AS moment FROM y GROUP BY 1, 2""",
     "scene_contract": f"WITH {WAVES} SELECT id, id % 4 = 0 AS valid FROM waves",
 }
