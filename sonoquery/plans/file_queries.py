@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dsp
+from ..functions import dsp, tables
 from ..sources import audio, files
 from .scoring_queries import rounded, table
 from .signal_queries import DIRECT, SR, square
@@ -67,7 +67,18 @@ def header_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"clip([0-9]+)\.wav$", 1).cast("bigint").alias("id"), F.regexp_extract("path", r"label([0-9]+)/", 1).cast("int").alias("label"), "sr", "bits", "frames", F.round("seconds", 6).alias("seconds"), (F.col("bytes_read") <= 2 * files.HEAD_BYTES).alias("by_header"))
 
 
-ALL = (archive_members, archive_ingest, header_durations)
+def archive_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors of all responses in archives, by a table function in SQL."""
+    rows = audio.members(spark, _archives(spark, sf_dir)).withColumn("gap", (F.col("src") % 20) * F.lit(0.343))
+    found = tables.registered(spark).sql(
+        """SELECT r.src AS id, r.room, d.sr, d.samples, d.direct, d.drr_db, d.c50_db
+FROM {rows} r, LATERAL descriptors(r.bytes, r.gap, 'sr, samples, direct, drr_db, c50_db') d""",
+        rows=rows,
+    )
+    return rounded(found, 5)
+
+
+ALL = (archive_members, archive_ingest, header_durations, archive_descriptors)
 QUERIES = {f.__name__: f for f in ALL}
 
 PLACES = f"places AS (SELECT vec_id, embedding, 'type' || (vec_id // {ARCHIVE}) AS room_type, 'Room' || label || '_idx_' || (vec_id // {ARCHIVE}) AS room FROM embeddings)"
@@ -84,4 +95,8 @@ SELECT room || '/S' || vec_id || '_R' || (vec_id % 4) || '.wav' AS path, room, r
 FROM places JOIN e ON e.id = vec_id JOIN ends ON ends.id = vec_id WHERE vec_id % 7 <> 3""",
     "header_durations": f"""SELECT vec_id AS id, label, {SR}::INTEGER AS sr, 16::INTEGER AS bits, vec_id % 64 + 1 AS frames, round((vec_id % 64 + 1) / {SR}.0::DOUBLE, 6) AS seconds, true AS by_header
 FROM embeddings WHERE (vec_id % 64 + 1) / {SR}.0::DOUBLE >= 0.04""",
+    "archive_descriptors": f"""WITH {PLACES}, {DIRECT}, e AS (SELECT id, direct, len(a) AS samples, {square('a')} AS whole, {square('a[greatest(0, direct - 1) + 1:least(len(a), direct + 2)]')} AS near,
+       {square('a[direct + 1:direct + 50]')} AS early, {square('a[direct + 51:]')} AS late FROM heard)
+SELECT id, room, {SR}::INTEGER AS sr, samples, direct, round(10 * log10((near + 1e-12) / (greatest(whole - near, 0) + 1e-12)), 5) AS drr_db,
+       CASE WHEN early <= 0 OR late <= 0 THEN 'NaN'::DOUBLE ELSE round(10 * log10(early / late), 5) END AS c50_db FROM e JOIN places ON vec_id = id""",
 }
