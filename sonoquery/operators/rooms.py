@@ -15,6 +15,21 @@ def in_rooms(rows: DataFrame, rooms, room: str = "room") -> DataFrame:
     return rows.where(F.col(room).isin(*rooms))
 
 
+#: Names of rooms that are broadcast, at most.
+MAX_NAMES = 10_000
+
+
+def in_stored_rooms(rows: DataFrame, sets: DataFrame, room: str = "room") -> DataFrame:
+    """Rows of the rooms in ``sets``, from a table with a folder for each room (:func:`sonoquery.sources.audio.store_rooms`).
+
+    Up to ``MAX_NAMES`` names are broadcast, and the folders to read are chosen by them when the query runs (dynamic pruning, where ``sets``
+    is a filtered table); with more, it is a shuffled semi-join.  Null names match nothing.
+    """
+    names = sets.select(F.col("room").alias(room)).distinct()
+    few = names.limit(MAX_NAMES + 1).count() <= MAX_NAMES
+    return rows.join(names.hint("broadcast" if few else "shuffle_hash"), room, "left_semi")
+
+
 def set_difference(expected: DataFrame, observed: DataFrame, column: str = "room") -> DataFrame:
     """(column, side): what is missing in, or extra to, the expected values; empty if the sets are equal."""
     a, b = expected.select(column).distinct(), observed.select(column).distinct()

@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dsp, tables
+from .. import schema
+from ..functions import dsp, signal, tables
+from ..operators import rooms
 from ..sources import audio, files
+from .room_queries import RESPONSES, SETS, responses
 from .scoring_queries import rounded, table
 from .signal_queries import DIRECT, SR, square
 
@@ -78,7 +81,16 @@ FROM {rows} r, LATERAL descriptors(r.bytes, r.gap, 'sr, samples, direct, drr_db,
     return rounded(found, 5)
 
 
-ALL = (archive_members, archive_ingest, header_durations, archive_descriptors)
+def fold_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy by receiver of a fold's validation rooms, from responses stored by room; the folders of other rooms aren't read."""
+    stored = audio.store_rooms(responses(spark, sf_dir), files.shared_folder(spark), "room", "row_id")
+    own = schema.room_sets(spark).where(F.col("room_set") == schema.FOLDS[1][1])
+    rows = rooms.in_stored_rooms(stored, own)
+    power = signal.energy(F.col("embedding").cast("array<double>"))
+    return rounded(rows.groupBy("room", "receiver").agg(F.count("*").alias("n"), F.sum(power).alias("energy")), 5)
+
+
+ALL = (archive_members, archive_ingest, header_durations, archive_descriptors, fold_stored)
 QUERIES = {f.__name__: f for f in ALL}
 
 PLACES = f"places AS (SELECT vec_id, embedding, 'type' || (vec_id // {ARCHIVE}) AS room_type, 'Room' || label || '_idx_' || (vec_id // {ARCHIVE}) AS room FROM embeddings)"
@@ -99,4 +111,6 @@ FROM embeddings WHERE (vec_id % 64 + 1) / {SR}.0::DOUBLE >= 0.04""",
        {square('a[direct + 1:direct + 50]')} AS early, {square('a[direct + 51:]')} AS late FROM heard)
 SELECT id, room, {SR}::INTEGER AS sr, samples, direct, round(10 * log10((near + 1e-12) / (greatest(whole - near, 0) + 1e-12)), 5) AS drr_db,
        CASE WHEN early <= 0 OR late <= 0 THEN 'NaN'::DOUBLE ELSE round(10 * log10(early / late), 5) END AS c50_db FROM e JOIN places ON vec_id = id""",
+    "fold_stored": f"""WITH {RESPONSES}, {SETS} SELECT room, receiver, count(*) AS n, round(sum({square('embedding::DOUBLE[]')}), 5) AS energy
+FROM responses JOIN sets USING (room) WHERE room_set = '{schema.FOLDS[1][1]}' GROUP BY 1, 2""",
 }

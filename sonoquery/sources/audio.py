@@ -165,6 +165,17 @@ def write_shards(rows: DataFrame, path: str, shards: int = 1) -> None:
     ordered.drop("room_type", "name").write.mode("overwrite").parquet(path)
 
 
+def store_rooms(rows: DataFrame, path: str, room: str, spread: str, tasks: int = 8) -> DataFrame:
+    """``rows`` in a folder for each ``room``, and the table read back.
+
+    A room's rows are dealt to ``tasks`` tasks by the column ``spread``, so a room that holds most rows is no single task's; a room has
+    as many files at most.  Rows of a null room have a folder of their own.
+    """
+    dealt = rows.repartition(F.col(room), F.pmod(F.xxhash64(spread), F.lit(tasks)))
+    dealt.write.mode("overwrite").partitionBy(room).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def store_blocks(rows: DataFrame, name: str, blocks: int, row: str = "row_id") -> DataFrame:
     """``rows`` stored as a table of ``blocks`` buckets by ``row``, each sorted by it.
 
