@@ -91,6 +91,17 @@ def test_render_query(spark):
     assert all((r.final_snr_db is None) == r.is_clean for r in rows)
 
 
+def test_roundtrip_is_close_at_all_levels(spark, tmp_path):
+    """Above about half of full scale, the error of a right 16-bit round trip is over 1 / 32000; that of another sample value isn't allowed for."""
+    levels = [0.56118864, -0.56118864, 0.99996, 1.0, -1.0, 0.0, 1e-6, *np.random.default_rng(0).uniform(-1, 1, 2000)]
+    rows = [(i, [float(np.float32(x))] * 3) for i, x in enumerate(levels)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert all(r.close for r in scene_queries.audio_roundtrip(spark, str(tmp_path)).collect())
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(audio, "encoded", lambda wave, sr, f=audio.encoded: f(F.transform(wave, lambda x: x + F.signum(0.5 - x) * 2.6 / 32768), sr))
+        assert not any(r.close for r in scene_queries.audio_roundtrip(spark, str(tmp_path)).collect() if abs(levels[r.id]) < 0.5)
+
+
 def archive(path, room, names):
     with zipfile.ZipFile(path, "w") as bundle:
         for k, name in enumerate(names):
