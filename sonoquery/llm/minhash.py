@@ -56,7 +56,7 @@ MISS = 1e-8
 SHORT = 256
 #: About as many nodes of a family tell its center; the result doesn't depend on it.
 CENTER = 128
-#: How often bounds are made anew from the nodes that they have left.
+#: How often bounds are made anew from the nodes that they have left, after the pass over first members.
 PASSES = 2
 #: Nodes of a list that one head is compared to.
 BLOCK = 256
@@ -132,20 +132,20 @@ def likely(a: Column, b: Column, na: Column, nb: Column, k: int, percent: int, s
     return sizes & (shared >= F.lit(share) * F.size(union))
 
 
+DIFFERENCE = pa.struct([("d", pa.list_(pa.int64())), ("added", pa.int32())])
+
+
 def _difference(centers: pa.Array, sets: pa.Array) -> pa.Array:
-    """What is in one of a center (a list, null for an empty one) and a packed set."""
-    out = []
+    """What is in one of a center (a list, null for an empty one) and a packed set: first what the set adds, ``added`` members, then what it lacks in the center's order."""
+    out, added = [], []
     for x, y in zip(centers, sets, strict=True):
         own = np.frombuffer(y.as_buffer(), np.int64)
-        both = np.concatenate([x.values.to_numpy(), own]) if x.is_valid else own.copy()
-        both.sort()
-        same = both[1:] == both[:-1]
-        single = np.ones(len(both), bool)
-        single[1:] &= ~same
-        single[:-1] &= ~same
-        out.append(both[single])
+        center = x.values.to_numpy() if x.is_valid else own[:0]
+        more = own[~np.isin(own, center, assume_unique=True)]
+        out.append(np.concatenate([more, center[~np.isin(center, own, assume_unique=True)]]))
+        added.append(len(more))
     trim()
-    return pa.array(out, pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([pa.array(out, DIFFERENCE[0].type), pa.array(added, pa.int32())], fields=list(DIFFERENCE))
 
 
 def _unpacked(sets: pa.Array) -> pa.Array:
@@ -194,12 +194,14 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
     1. Let o be the family's node with the least g.  Nodes with g(x) <= -g(o) are similar
        to o, whatever c is.
     2. Another pair needs c >= (g(x) + m(x)) / 2 and c >= 1, where m(x) is the least g in other
-       components than x's among nodes whose D is large enough for x.  Nodes whose
-       D has fewer members that other components share go; this is done ``PASSES``
-       times, with what the pass before has left.  Where D's are listed by their members,
-       nodes are also similar to a list's least one if the lists that both are in
-       make up for enough of c.  Pairs of what is left meet in
-       inverted lists of the rarest |D| - bound + 1 members of each D.
+       components than x's among nodes whose D is large enough for x.  A D's members are in one
+       order for all of the family: those that C lacks first, as few have them, then those of C
+       that fewest lack.  Two D's that share c members share one of the first |D| - c + 1 of each, so
+       first, only as many of what C lacks are listed, and nodes that share none of them with other components
+       go, unless members of C are among their first.  Then ``PASSES`` times, of what the pass before has left, all that
+       C lacks is listed; what other components don't share goes from the D's, and nodes whose D is
+       too small then.  Nodes are also compared to the least ones of their lists.  Pairs of what is left meet in
+       inverted lists of the first |D| - bound + 1 members of each D, the rarest of what C lacks being first.
     3. In lists of at most ``short`` nodes, pairs are made and c is counted within the
        join.  A longer list, whose nodes have a further passage in common, is
        a family of its own in the next round, with a center of its own; lists of the same
@@ -212,7 +214,7 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
     whatever passages they all have in common.  Between two components one pair is given.
     """
     p, q = 100 + percent, 100 - percent  # r = q / p; g below is p times that of the text
-    difference, unpacked = F.arrow_udf(_difference, "array<bigint>"), F.arrow_udf(_unpacked, "array<bigint>")
+    difference, unpacked = F.arrow_udf(_difference, "struct<d:array<bigint>,added:int>"), F.arrow_udf(_unpacked, "array<bigint>")
     found = families.select(F.col("component").alias("low"), F.col("component").alias("high"), F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     last = found
     while families.take(1):
@@ -222,11 +224,11 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         some = some.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CENTER)) == 0).select("family", "node")
         asked = some.groupBy("family").agg(F.count("*").alias("asked"))
         times = some.join(full, "node").select("family", F.explode(unpacked("set")).alias("e")).groupBy("family", "e").agg(F.count("*").alias("n"))
-        centers = cut(times.join(asked, "family").where("2 * n > asked").groupBy("family").agg(F.collect_list("e").alias("center")))
+        centers = cut(times.join(asked, "family").where("2 * n > asked").groupBy("family").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "e"))).alias("_x")).select("family", F.transform("_x", lambda x: x["e"]).alias("center")))
         rows = families.join(full, "node")
         rows = rows.withColumn("salt", _salt()).join(_spread(centers), ["family", "salt"], "left")
-        rows = rows.select("family", "node", "salt", "component", (F.octet_length("set") / 8).cast("long").alias("n"), difference("center", "set").alias("d"))
-        apart = cut(rows.withColumn("g", F.size("d") * p - F.col("n") * q).drop("n"))
+        rows = rows.select("family", "node", "salt", "component", (F.octet_length("set") / 8).cast("long").alias("n"), difference("center", "set").alias("x"))
+        apart = cut(rows.select("family", "node", "salt", "component", "n", "x.d", "x.added").withColumn("g", F.size("d") * p - F.col("n") * q).drop("n"))
 
         # 1. nodes that the family's least one is surely similar to
         best = apart.groupBy("family").agg(F.min(F.struct("g", "node", "component")).alias("o"))
@@ -237,7 +239,8 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         near = rows.withColumn("component", F.when(close, F.col("o.component")).otherwise(F.col("component"))).drop("o")
 
         # 2. nodes that can have a partner, and what they share
-        for i in range(PASSES):
+        spent = []
+        for i in range(1 + PASSES):
             half = F.col("g") / (2 * p)
             near = near.withColumn("level", _level(F.size("d") - half))
             least = near.groupBy("family", "level", "component").agg(F.min("g").alias("g"))
@@ -250,18 +253,38 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
             bound = F.when(F.size(fit) > 0, F.greatest(bound, F.lit(1)))
             near = near.drop("level").join(_spread(limits), ["family", "salt"]).withColumn("bound", bound).drop("limits").where("size(d) >= bound")
             able = near = cut(near)
-            parts = cut(near.select("family", "node", "component", "g", F.explode("d").alias("e")))
-            met = parts.join(_listed(parts), ["family", "e"])
-            own = met.groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
-            near = near.drop("d").join(own, ["family", "node"]).where("size(own) >= bound")
-            if i == 0:  # nodes that a list's least one is surely similar to
-                alike = met.where("component <> o.component").groupBy("family", "node", "component", "g", "o").agg(F.count("*").alias("c")).where(F.col("c") * (2 * p) >= F.col("g") + F.col("o.g"))
-                direct = _one_each(direct.union(alike.select(*sides)))
-                joined = direct.union(last).groupBy(F.col("high").alias("component")).agg(F.min("low").alias("_new"))
-                near = near.join(_spread(joined), ["component", "salt"], "left").withColumn("component", F.coalesce("_new", "component"))
-            near = cut(near.withColumn("d", F.transform("own", lambda x: x["e"])).select("family", "node", "salt", "component", "g", "d", "bound"))
-            drop_cut(parts)
-            drop_cut(able)
+            first = F.size("d") - F.col("bound") + 1
+            ids = near.select("family", "node", "component", "g")
+            if i == 0:
+                head = F.slice("d", F.lit(1), F.least(first, F.col("added")))
+                parts = heads = cut(near.select(*ids.columns, F.explode(head).alias("e")))
+            elif i == 1:  # what isn't listed yet
+                rest = F.slice("d", F.col("head") + 1, F.col("added") - F.col("head"))
+                parts = cut(heads.join(ids.select("family", "node"), ["family", "node"], "left_semi").union(near.select(*ids.columns, F.explode(rest).alias("e"))))
+            else:
+                parts = cut(before.select("family", "node", "e").join(ids, ["family", "node"]).select(*ids.columns, "e"))
+            met = before = cut(parts.join(_listed(parts), ["family", "e"]))
+            if i == 0:  # nodes that share one of their first members
+                some = met.select("family", "node").distinct().withColumn("_met", F.lit(True))
+                near = near.join(some, ["family", "node"], "left").where((first > F.col("added")) | F.col("_met"))
+                near = cut(near.withColumn("head", F.least(first, F.col("added"))).drop("bound", "_met"))
+            else:
+                own = met.groupBy("family", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("own"))
+                near = near.join(own, ["family", "node"], "left").withColumn("own", F.coalesce(F.transform("own", lambda x: x["e"]), F.array().cast("array<bigint>")))
+                lacks = F.slice("d", F.col("added") + 1, F.size("d") - F.col("added"))
+                near = near.select("family", "node", "salt", "component", "g", F.concat("own", lacks).alias("d"), F.size("own").alias("added"), "bound").where("size(d) >= bound")
+                if i == 1:  # nodes that a list's least one is similar to
+                    stars = met.where("component <> o.component").select("family", "node", "component", "g", "o").distinct().withColumn("salt", _salt())
+                    of = able.select("family", F.col("node").alias("_of"), F.col("d").alias("_d")).join(stars.select("family", F.col("o.node").alias("_of")).distinct(), ["family", "_of"])
+                    alike = stars.withColumn("_of", F.col("o.node")).join(able.select("family", "node", "d"), ["family", "node"]).join(_spread(of), ["family", "_of", "salt"])
+                    alike = alike.where(F.size(F.array_intersect("d", "_d")) * (2 * p) >= F.col("g") + F.col("o.g"))
+                    direct = _one_each(direct.union(alike.select(*sides)))
+                    joined = direct.union(last).groupBy(F.col("high").alias("component")).agg(F.min("low").alias("_new"))
+                    near = near.join(_spread(joined), ["component", "salt"], "left").withColumn("component", F.coalesce("_new", "component")).drop("_new")
+                near = cut(near)
+                drop_cut(parts)
+            spent += [able, near, met]
+        spent.remove(near)
         near = near.withColumnRenamed("d", "own")
         listed = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("bound") + 1))
         lists = cut(near.select("family", listed.alias("e"), "node", "salt", "component"))
@@ -283,7 +306,7 @@ def by_difference(families: DataFrame, full: DataFrame, percent: int, short: int
         found = found.union(direct).union(last)
         longer = lists.join(_spread(kinds.where(F.col("members") > short).select("family", "e")), ["family", "e", "salt"])
         families = cut(longer.select(F.xxhash64("family", "e").alias("family"), "node", "component"))
-        for done in (centers, apart, near, lists, kinds):
+        for done in (centers, apart, near, heads, *spent, lists, kinds):
             drop_cut(done)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

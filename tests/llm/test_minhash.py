@@ -138,3 +138,36 @@ def test_candidates_of_a_large_family(spark):
     joined = {r.node: r.component for r in components(spark.createDataFrame(real, "a long, b long")).collect()}
     assert {i: joined.get(i, i) for i in docs} == root
     assert 20 < len(set(root.values())) < len(docs)
+
+
+def test_members_listed_of_a_large_family(spark, monkeypatch):
+    """Differences that nobody shares are listed up to the bound only, and none of what most of the family has."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    docs = {}
+    for i in range(400):
+        text = list(base)
+        for at in rng.sample(range(150), 12):
+            text[at] = f"own{i} {at}" if i % 40 else f"own {at}"
+        docs[i] = " ".join(text)
+    sets = minhash.sets(minhash.pa.array(docs.values()), 3)
+    full = spark.createDataFrame([(i, s.tobytes()) for i, s in zip(docs, sets, strict=True)], "node long, set binary")
+    families = spark.createDataFrame([(1, i, i) for i in docs], "family long, node long, component long")
+    listed, members, cut = [], [], minhash.cut
+
+    def counted(df, *more):
+        done = cut(df, *more)
+        if done.columns == ["family", "node", "component", "g", "e"]:
+            listed.append(done.count())
+        elif "bound" in done.columns and not members:
+            members.append(done.selectExpr("sum(size(d))").first()[0])
+        return done
+
+    monkeypatch.setattr(minhash, "cut", counted)
+    pairs = {(r.a, r.b) for r in minhash.by_difference(families, full, 85, 64).collect()}
+    have = [set(s.tolist()) for s in sets]
+    root, _ = brute(docs, 3, 85)
+    real = [(a, b) for a, b in pairs if 100 * len(have[a] & have[b]) >= 85 * len(have[a] | have[b])]
+    joined = {r.node: r.component for r in components(spark.createDataFrame(real, "a long, b long")).collect()} if real else {}
+    assert {i: joined.get(i, i) for i in docs} == root
+    assert max(listed) < 0.6 * members[0]
