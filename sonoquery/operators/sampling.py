@@ -169,14 +169,15 @@ def targets(base: DataFrame, ranges: list[tuple[float, float]], seed: int, attem
     """(speech_index, condition_index, attempt, target): the targets that are tried for each condition, from 1 on."""
 
     def work(indices: pa.Array) -> pa.Array:
-        out = []
-        for i in indices.to_pylist():
-            rows = []
-            for c, (low, high) in enumerate(ranges, 1):
-                rng = np.random.default_rng(np.random.SeedSequence([seed, i, c]))
-                rows += [{"condition_index": c, "attempt": a, "target": float(rng.uniform(low, high))} for a in range(attempts)]
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([("condition_index", pa.int32()), ("attempt", pa.int32()), ("target", pa.float64())])))
+        drawn = np.empty((len(indices), len(ranges), attempts))
+        for k, i in enumerate(indices.to_pylist()):
+            for c, (low, high) in enumerate(ranges):
+                drawn[k, c] = np.random.default_rng(np.random.SeedSequence([seed, i, c + 1])).uniform(low, high, attempts)
+        each = len(ranges) * attempts
+        condition = np.tile(np.repeat(np.arange(1, len(ranges) + 1, dtype=np.int32), attempts), len(indices))
+        attempt = np.tile(np.arange(attempts, dtype=np.int32), len(indices) * len(ranges))
+        rows = pa.StructArray.from_arrays([pa.array(condition), pa.array(attempt), pa.array(drawn.reshape(-1))], ["condition_index", "attempt", "target"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(indices) + 1) * each, pa.int32()), rows)
 
     draws = F.arrow_udf(work, "array<struct<condition_index:int,attempt:int,target:double>>")
     return base.select("speech_index", F.explode(draws("speech_index")).alias("_t")).select("speech_index", "_t.*")

@@ -1,9 +1,11 @@
 """Sampling, rendering, rejection, audits and ingestion."""
 
 import json
+import tracemalloc
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -102,6 +104,36 @@ def test_roundtrip_is_close_at_all_levels(spark, tmp_path):
         assert not any(r.close for r in scene_queries.audio_roundtrip(spark, str(tmp_path)).collect() if abs(levels[r.id]) < 0.5)
 
 
+def own_function(call):
+    """The function that ``call`` gives to Arrow."""
+    got = []
+
+    def grab(work, *_):
+        got.append(work)
+        raise LookupError
+
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(LookupError):
+        patch.setattr(F, "arrow_udf", grab)
+        call()
+    return got[0]
+
+
+def peak_mb(work, *arrays):
+    tracemalloc.start()
+    try:
+        return work(*arrays), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_targets_are_never_python_objects():
+    ranges = [(a, a + 2.0) for a in range(-8, 6, 2)]
+    got, peak = peak_mb(own_function(lambda: sampling.targets(None, ranges, 5, 20)), pa.array(range(300), pa.int64()))
+    assert peak < 3  # dicts take 9 MB
+    rng = np.random.default_rng(np.random.SeedSequence([5, 7, 3]))
+    assert [x for x in got[7].as_py() if x["condition_index"] == 3] == [{"condition_index": 3, "attempt": a, "target": rng.uniform(-4, -2)} for a in range(20)]
+
+
 def archive(path, room, names):
     with zipfile.ZipFile(path, "w") as bundle:
         for k, name in enumerate(names):
