@@ -68,21 +68,38 @@ def _room(clip, response, distance, noises, pink_db, seed, sr: int) -> dsp.Room:
 _COLUMNS = ("clip", "response", "distance", "noises", "pink_db", "rng_seed")
 
 
+def _value(x: pa.Scalar):
+    """``x`` in Python, with waveforms as arrays."""
+    if not pa.types.is_nested(x.type) or not x.is_valid:
+        return x.as_py()
+    if pa.types.is_struct(x.type):
+        return {k: _value(x[k]) for k in x}
+    return [_value(v) for v in x.values] if pa.types.is_nested(x.type.value_type) else x.values.to_numpy(zero_copy_only=False)
+
+
 def _rows(*arrays: pa.Array):
-    return zip(*(a.to_pylist() for a in arrays), strict=True)
+    """One row after another, so that a batch is never there as Python objects."""
+    return (tuple(_value(a[i]) for a in arrays) for i in range(len(arrays[0])))
 
 
 def render(gathered: DataFrame, sr: int) -> DataFrame:
     """Scenes (scene_id, audio, text, is_clean, metadata) at each row's ``target_snr_db``."""
 
     def work(*arrays: pa.Array) -> pa.Array:
-        out = []
+        waves, metas, few = [np.zeros(0)], [], []
         for *parts, target in _rows(*arrays):
             scene = _room(*parts, sr)
             mix = dsp.mixed(scene, target)
             meta = {"sr": sr, "target_snr_db": target, "pink_db": parts[4], "rng_seed": parts[5], "final_snr_db": mix.final_snr_db, "speech_drr_db": scene.speech_drr, "noises": [{"drr_db": d, "offset_ms": x["offset_ms"]} for d, x in zip(scene.noise_drrs, parts[3], strict=True)], "clipping_scale": mix.scale, "clipped": mix.clipped}
-            out.append({"audio": mix.audio.tolist(), "metadata": meta})
-        return pa.array(out, kind) if out else pa.array([], kind)
+            waves.append(mix.audio)
+            few.append(meta)
+            if len(few) == 256:
+                metas.append(pa.array(few, kind[1].type))
+                few = []
+        metas.append(pa.array(few, kind[1].type))
+        ends = pa.array(np.cumsum([len(w) for w in waves]), pa.int32())
+        audio = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(waves)))
+        return pa.StructArray.from_arrays([audio, pa.concat_arrays(metas)], fields=list(kind))
 
     noise = pa.struct([("drr_db", pa.float64()), ("offset_ms", pa.float64())])
     meta = pa.struct([("sr", pa.int32()), ("target_snr_db", pa.float64()), ("pink_db", pa.float64()), ("rng_seed", pa.int64()), ("final_snr_db", pa.float64()), ("speech_drr_db", pa.float64()), ("noises", pa.list_(noise)), ("clipping_scale", pa.float64()), ("clipped", pa.bool_())])
@@ -101,8 +118,8 @@ def statistics(gathered: DataFrame, sr: int) -> DataFrame:
     """(speech_index, ps, pn, pp, c): all that the realized ratio depends on besides the target."""
 
     def work(*arrays: pa.Array) -> pa.Array:
-        out = [dict(zip(("ps", "pn", "pp", "c"), _room(*parts, sr).statistics(), strict=True)) for parts in _rows(*arrays)]
-        return pa.array(out, pa.struct([(k, pa.float64()) for k in ("ps", "pn", "pp", "c")]))
+        out = np.array([_room(*parts, sr).statistics() for parts in _rows(*arrays)], float).reshape(-1, 4)
+        return pa.StructArray.from_arrays([pa.array(column) for column in out.T.copy()], ["ps", "pn", "pp", "c"])
 
     return gathered.withColumn("_s", F.arrow_udf(work, "struct<ps:double,pn:double,pp:double,c:double>")(*_COLUMNS)).select("speech_index", "_s.*")
 

@@ -134,6 +134,19 @@ def test_targets_are_never_python_objects():
     assert [x for x in got[7].as_py() if x["condition_index"] == 3] == [{"condition_index": 3, "attempt": a, "target": rng.uniform(-4, -2)} for a in range(20)]
 
 
+def test_batches_of_scenes_are_never_python_objects():
+    wave = pa.list_(pa.float64())
+    noises = pa.list_(pa.struct([("pos", pa.int32()), ("clip", wave), ("response", wave), ("distance", pa.float64()), ("offset_ms", pa.float64())]))
+    a = lambda i: np.sin(np.arange(64) + i)
+    rows = [(a(i), a(i) * 0.9, 1.0, [{"pos": k, "clip": a(i + k), "response": a(k), "distance": 1.0, "offset_ms": 3.0} for k in range(2)], 45.0, i, 3.0) for i in range(400)]
+    kinds = (wave, wave, pa.float64(), noises, pa.float64(), pa.int64(), pa.float64())
+    batch = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    work = own_function(lambda: scenes.render(None, 1000))
+    got, peak = peak_mb(work, *batch)
+    assert len(got) == 400 and peak < 3  # 7.6 MB as lists
+    assert work(*(x[5:6] for x in batch))[0].as_py() == got[5].as_py() and len(work(*(x[:0] for x in batch))) == 0
+
+
 def archive(path, room, names):
     with zipfile.ZipFile(path, "w") as bundle:
         for k, name in enumerate(names):
